@@ -49,7 +49,7 @@ def _padded(text: Column) -> Column:
 
 
 def _stands_in(padded: Column, candidate: Column) -> Column:
-    return padded.contains(candidate["needle"]) & padded.rlike(candidate["pattern"])
+    return padded.contains(candidate["needle"]) & F.rlike(padded, candidate["pattern"])
 
 
 def _by_token(dictionary: DataFrame) -> DataFrame:

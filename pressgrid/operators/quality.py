@@ -136,5 +136,5 @@ def distinct_concat(df: DataFrame, key: list[str], value: str, out: str) -> Data
 
     Values are made distinct before they are gathered, so only distinct ones travel.
     """
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*key, value).agg()
-    return distinct.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(value)), ", ").alias(out))
+    distinct = df.filter(F.col(value).isNotNull()).select(*key, value).distinct()
+    return distinct.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(value)), ", ").alias(out))
