@@ -90,7 +90,7 @@ SELECT a.updated_at, a.url, {listed('p.spokesperson_name')} AS people FROM artic
 JOIN people p ON {found_sql('a.content', 'p.spokesperson_name')} GROUP BY 1, 2""", text="updated_at")
 def _(spark, d):
     found = _names(spark, d, "people", "spokesperson_name")
-    return found.select("updated_at", "url", joined_values(F.col("found"), "name").alias("people")).filter("people IS NOT NULL")
+    return found.select("updated_at", "url", joined_values("found", "name").alias("people")).filter("people IS NOT NULL")
 
 
 @check("match_investors", "articles investors", f"""
@@ -99,8 +99,8 @@ JOIN investors p ON {found_sql('a.content', 'p.investor')} GROUP BY 1, 2""", tex
 def _(spark, d):
     found = _names(spark, d, "investors", "investor", rank="rank")
     return found.select(
-        "updated_at", "url", joined_values(F.col("found"), "name").alias("investors"),
-        joined_values(F.col("found"), "rank").alias("ranks")).filter("investors IS NOT NULL")
+        "updated_at", "url", joined_values("found", "name").alias("investors"),
+        joined_values("found", "rank").alias("ranks")).filter("investors IS NOT NULL")
 
 
 @check("match_reporters", "articles reporters", f"""
@@ -108,7 +108,7 @@ SELECT a.updated_at, a.url, {listed('p.tagged_reporter')} AS reporters FROM arti
 JOIN reporters p ON {found_sql('a.content', 'p.tagged_reporter')} GROUP BY 1, 2""", text="updated_at")
 def _(spark, d):
     found = _names(spark, d, "reporters", "tagged_reporter")
-    return found.select("updated_at", "url", joined_values(F.col("found"), "name").alias("reporters")).filter("reporters IS NOT NULL")
+    return found.select("updated_at", "url", joined_values("found", "name").alias("reporters")).filter("reporters IS NOT NULL")
 
 
 COMPANY = dict(location="portco_location", lead="portco_deal_lead", ai="ai", vehicle="vehicle")
@@ -124,15 +124,15 @@ def _(spark, d):
     found = _names(spark, d, "companies", "portco_name", **COMPANY)
     each = {"portcos": "name", "locations": "location", "leads": "lead", "ai": "ai", "vehicles": "vehicle"}
     return found.select(
-        "updated_at", "url", *[joined_values(F.col("found"), f).alias(o) for o, f in each.items()],
-        any_found(F.col("found")).alias("tagged_portco"))
+        "updated_at", "url", *[joined_values("found", f).alias(o) for o, f in each.items()],
+        any_found("found").alias("tagged_portco"))
 
 
 @check("name_in_headline", "articles people", f"""
 SELECT updated_at, url, EXISTS (SELECT 1 FROM people p WHERE {found_sql('title', 'p.spokesperson_name')}) AS in_headline FROM articles""", text="updated_at")
 def _(spark, d):
     found = _names(spark, d, "people", "spokesperson_name", "title")
-    return found.select("updated_at", "url", any_found(F.col("found")).alias("in_headline"))
+    return found.select("updated_at", "url", any_found("found").alias("in_headline"))
 
 
 @check("distinct_concat", "articles companies", f"""

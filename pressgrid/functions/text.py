@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -12,45 +14,76 @@ from pressgrid.functions.urls import strip
 KILL_PILL = ["incubator", "孵化器", "孵化场", "孵化中心"]
 UNWANTED = ["accelerator", "startup factory", "孵化器工厂"]
 
-# A position between a word and a non-word character, ASCII letters only.
-_ASCII_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+_ASCII_WORD = "[0-9A-Za-z_]"
 
 PLACEHOLDER = "needs enrichment"
 GUARD_LENGTH = 20
 
 
+def _bounded(word: str, boundary: str) -> str:
+    """A lower-case word with an edge on both sides. The word comes first and is then looked back
+    at, so the matcher can skip ahead on the literal."""
+    quoted = re.escape(word)
+    if boundary == "unicode":
+        return rf"(?U)\b{quoted}\b"
+    if boundary != "ascii":
+        raise ValueError(f"boundary must be 'ascii' or 'unicode', not {boundary!r}")
+    # an edge lies between a word and a non-word character: which one must stand
+    # outside depends on the character inside
+    before = "!" if re.match(_ASCII_WORD, word[0]) else "="
+    after = "!" if re.match(_ASCII_WORD, word[-1]) else "="
+    return f"{quoted}(?<{before}{_ASCII_WORD}{quoted})(?{after}{_ASCII_WORD})"
+
+
 def words_pattern(words: list[str], boundary: str = "ascii") -> str:
     """Whole-word alternation. 'ascii' sees no edge inside CJK text; 'unicode' does."""
-    body = "|".join(re.escape(w.lower()).replace(r"\ ", " ") for w in words)
-    if boundary == "ascii":
-        return f"{_ASCII_EDGE}(?:{body}){_ASCII_EDGE}"
-    if boundary == "unicode":
-        return rf"(?U)\b(?:{body})\b"
-    raise ValueError(f"boundary must be 'ascii' or 'unicode', not {boundary!r}")
+    return "|".join(_bounded(w.lower(), boundary) for w in words)
+
+
+def _lowered(c: Column) -> Column:
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
+def holds_any(lowered: Column, words: list[str]) -> Column:
+    """Cheap test that spares most texts the pattern: one of the words occurs somewhere."""
+    return reduce(or_, [lowered.contains(w.lower()) for w in words])
+
+
+def _word_in(lowered: Column, words: list[str], boundary: str) -> Column:
+    return holds_any(lowered, words) & lowered.rlike(words_pattern(words, boundary))
 
 
 def has_word(c: Column, words: list[str], boundary: str = "ascii") -> Column:
-    return F.lower(F.coalesce(c, F.lit(""))).rlike(words_pattern(words, boundary))
+    return _word_in(_lowered(c), words, boundary)
 
 
 def count_words(c: Column, words: list[str], boundary: str = "ascii") -> Column:
-    text = F.lower(F.coalesce(c, F.lit("")))
-    return F.regexp_count(text, F.lit(words_pattern(words, boundary))).cast("long")
+    return _count_in(_lowered(c), words, boundary)
 
 
-def word_context(c: Column, words: list[str], boundary: str = "ascii") -> Column:
-    """Sentences (split at '.') holding a word, untrimmed, in text order; NULL when there is none."""
-    pattern = words_pattern(words, boundary)
-    hits = F.filter(F.split(F.coalesce(c, F.lit("")), r"\."), lambda s: F.lower(s).rlike(pattern))
-    return F.when(F.size(hits) > 0, F.array_join(hits, " | "))
+def _count_in(lowered: Column, words: list[str], boundary: str) -> Column:
+    counted = F.regexp_count(lowered, F.lit(words_pattern(words, boundary)))
+    return F.when(holds_any(lowered, words), counted).otherwise(0).cast("long")
 
 
-def keyword_flags(c: Column, prefix: str, words: list[str], boundary: str = "ascii") -> dict[str, Column]:
-    """The flag, count and context columns of one keyword family."""
+def word_context(c: Column, words: list[str], boundary: str = "ascii", lowered: Column | None = None) -> Column:
+    """Sentences (split at '.') holding a word, untrimmed, in text order; NULL when there is none."""
+    low = _lowered(c) if lowered is None else lowered
+    marked = F.zip_with(
+        F.split(c, r"\."), F.split(low, r"\."), lambda s, l: F.when(_word_in(l, words, boundary), s))
+    found = F.when(holds_any(low, words), F.array_join(marked, " | "))  # NULL entries are skipped
+    return F.nullif(found, F.lit(""))
+
+
+def keyword_flags(
+    c: Column, prefix: str, words: list[str], boundary: str = "ascii", lowered: Column | None = None,
+) -> dict[str, Column]:
+    """The flag, count and context columns of one keyword family; `lowered` saves lowering the text again."""
+    low = _lowered(c) if lowered is None else lowered
     return {
-        prefix: has_word(c, words, boundary),
-        f"{prefix}_count": count_words(c, words, boundary),
-        f"{prefix}_context": word_context(c, words, boundary),
+        prefix: _word_in(low, words, boundary),
+        f"{prefix}_count": _count_in(low, words, boundary),
+        f"{prefix}_context": word_context(c, words, boundary, low),
     }
 
 
@@ -67,18 +100,14 @@ def tag_brand(
     """Brand as a whole word in title or content, or as the managing fund; `current` given = keep it."""
     tagged = (
         has_word(content, [brand], boundary) | has_word(title, [brand], boundary)
-        | (F.lower(F.coalesce(fund, F.lit(""))) == brand.lower())
+        | (_lowered(fund) == brand.lower())
     )
     return tagged if current is None else F.coalesce(current, tagged)
 
 
 def mentions_brand(brand: str, *cols: Column) -> Column:
     """Brand as a plain substring of any of the columns."""
-    needle = brand.lower()
-    found = F.lit(False)
-    for c in cols:
-        found = found | F.lower(F.coalesce(c, F.lit(""))).contains(needle)
-    return found
+    return reduce(or_, [_lowered(c).contains(brand.lower()) for c in cols])
 
 
 def passes_guard(content: Column, minimum: int = GUARD_LENGTH) -> Column:
@@ -103,13 +132,10 @@ def key_snippet(content: Column, words: list[str]) -> Column:
 
     Hits are found over the whole text; the fold only walks the hits.
     """
-    lowered = [w.lower() for w in words if w]
+    sought = [w.lower() for w in words if w]
 
     def hit(sentence: Column) -> Column:
-        test = F.lit(False)
-        for w in lowered:
-            test = test | F.lower(sentence).contains(w)
-        return test
+        return holds_any(F.lower(sentence), sought) if sought else F.lit(False)
 
     def around(sentences: Column) -> Column:
         framed = F.transform(sentences, lambda s, i: F.struct(

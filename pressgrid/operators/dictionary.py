@@ -37,7 +37,9 @@ def _filed(dictionary: DataFrame) -> DataFrame:
         F.split(needle, _SEPARATOR), F.lit(""),
         lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best))
     quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    pattern = F.concat(F.lit("[^a-z0-9]\\Q"), quoted, F.lit("\\E[^a-z0-9]"))
+    quoted = F.concat(F.lit("\\Q"), quoted, F.lit("\\E"))
+    # the name first, then a look at both neighbours: the matcher skips ahead on the literal
+    pattern = F.concat(quoted, F.lit("(?<![a-z0-9]"), quoted, F.lit(")(?![a-z0-9])"))
     return dictionary.select(
         longest.alias("token"),
         F.struct(needle.alias("needle"), pattern.alias("pattern"), F.struct(*dictionary.columns).alias("entry")
@@ -108,13 +110,16 @@ def match_names(
     raise ValueError(f"how must be 'auto', 'inline' or 'join', not {how!r}")
 
 
-def joined_values(found: Column, field: str, kind: str | None = None) -> Column:
-    """Distinct values of one entry field in order, ', ' between; NULL when there is none."""
-    rows = found if kind is None else F.filter(found, lambda e: e["kind"] == kind)
-    values = F.filter(F.transform(rows, lambda e: e[field]), lambda v: v.isNotNull())
-    return F.when(F.size(values) > 0, F.array_join(F.array_sort(F.array_distinct(values)), ", "))
+def of_kind(found: str, kind: str | None) -> str:
+    return found if kind is None else f"filter({found}, e -> e.kind = '{kind}')"
 
 
-def any_found(found: Column, kind: str | None = None) -> Column:
-    rows = found if kind is None else F.filter(found, lambda e: e["kind"] == kind)
-    return F.coalesce(F.size(rows) > 0, F.lit(False))
+def joined_values(found: str, field: str, kind: str | None = None) -> Column:
+    """Distinct values of one entry field of an array column in order, ', ' between; NULL when there is none."""
+    values = f"filter(transform({of_kind(found, kind)}, e -> e.{field}), v -> v IS NOT NULL)"
+    return F.expr(f"CASE WHEN size({values}) > 0 THEN array_join(array_sort(array_distinct({values})), ', ') END")
+
+
+def any_found(found: str, kind: str | None = None) -> Column:
+    """Whether an array column of entries holds one (of a kind)."""
+    return F.expr(f"coalesce(size({of_kind(found, kind)}) > 0, false)")

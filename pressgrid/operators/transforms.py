@@ -74,12 +74,12 @@ def fill_defaults(articles: DataFrame, as_of: Column, only: Column | None = None
     }
     for c in schemas.STRING_FIELDS:
         if c not in defaults and c not in NOT_FILLED:
-            defaults[c] = F.coalesce(c, F.lit(""))
-    defaults.update({c: F.coalesce(c, F.lit(False)) for c in schemas.BOOLEAN_FIELDS})
-    defaults.update({c: F.coalesce(c, F.lit(0)).cast("long") for c in FILLED_COUNTS})
-    defaults["backlinks"] = F.coalesce("backlinks", F.lit(0.0))
+            defaults[c] = F.expr(f"coalesce({c}, '')")
+    defaults.update({c: F.expr(f"coalesce({c}, false)") for c in schemas.BOOLEAN_FIELDS})
+    defaults.update({c: F.expr(f"coalesce({c}, 0L)") for c in FILLED_COUNTS})
+    defaults["backlinks"] = F.expr("coalesce(backlinks, 0.0D)")
     for c in ("text_scraped_at", "ingestion_date", "scrape_date"):
-        defaults[c] = F.coalesce(c, F.lit("1970-01-01 00:00:00").cast("timestamp"))
+        defaults[c] = F.expr(f"coalesce({c}, TIMESTAMP '1970-01-01 00:00:00')")
     if only is not None:
         defaults = {c: F.when(only, v).otherwise(F.col(c)) for c, v in defaults.items()}
     return articles.withColumns(defaults)

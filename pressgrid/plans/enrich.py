@@ -62,15 +62,13 @@ def match_fields(rows: DataFrame, names: DataFrame, apply: Column, how: str = "a
     """People, investors, reporters and companies named in the text; a text without any keeps its earlier values."""
     texts = {"_body": F.when(apply, F.col("content")), "_head": F.when(apply, F.col("title"))}
     found = match_names(rows, names, texts, ROW_KEY, how)
-    body, head = F.col("_body"), F.col("_head")
 
     def keep(kind: str, field: str, old: str) -> Column:
-        named = F.coalesce(F.exists(body, lambda e: e["kind"] == kind), F.lit(False))
-        return F.when(named, joined_values(body, field, kind)).otherwise(F.col(old))
+        return F.when(any_found("_body", kind), joined_values("_body", field, kind)).otherwise(F.col(old))
 
     matched = found.withColumns({
         "matched_spokespeople": keep("person", "name", "matched_spokespeople"),
-        "spokespeople_in_headline": F.when(apply, any_found(head, "person")).otherwise(F.col("spokespeople_in_headline")),
+        "spokespeople_in_headline": F.when(apply, any_found("_head", "person")).otherwise(F.col("spokespeople_in_headline")),
         "matched_vc_investors": keep("investor", "name", "matched_vc_investors"),
         "matched_dealroom_rank": keep("investor", "rank", "matched_dealroom_rank"),
         "matched_reporter": keep("reporter", "name", "matched_reporter"),
@@ -86,11 +84,13 @@ def match_fields(rows: DataFrame, names: DataFrame, apply: Column, how: str = "a
 
 
 def keyword_fields(rows: DataFrame, apply: Column, kill_pill: list[str], unwanted: list[str], boundary: str) -> DataFrame:
+    content, low = F.col("content"), F.col("_low")
     flags = {
-        **text.keyword_flags(F.col("content"), "kill_pill", kill_pill, boundary),
-        **text.keyword_flags(F.col("content"), "unwanted", unwanted, boundary),
+        **text.keyword_flags(content, "kill_pill", kill_pill, boundary, low),
+        **text.keyword_flags(content, "unwanted", unwanted, boundary, low),
     }
-    return rows.withColumns({c: F.when(apply, v).otherwise(F.col(c)) for c, v in flags.items()})
+    lowered = rows.withColumn("_low", F.when(apply, F.lower(F.coalesce(content, F.lit("")))))
+    return lowered.withColumns({c: F.when(apply, v).otherwise(F.col(c)) for c, v in flags.items()}).drop("_low")
 
 
 def enrich_articles(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 STRING_FIELDS = [
     "url", "title", "domain", "country", "content", "matched_spokespeople", "matched_vc_investors",
@@ -84,8 +84,7 @@ REQUIRED_FIELDS = [
 def conform(df: DataFrame, schema: T.StructType = ARTICLES) -> DataFrame:
     """Exactly the declared columns, in order and type; absent ones become NULL."""
     present = set(df.columns)
-    cols: list[Column] = []
-    for field in schema.fields:
-        value = F.col(field.name) if field.name in present else F.lit(None)
-        cols.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    return df.selectExpr(*[
+        f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
+        for f in schema.fields
+    ])
