@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pressgrid.functions.binding import let
+
 # The spellings accepted for a date, tried in this order.
 DATE_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss",
@@ -14,8 +16,11 @@ DATE_FORMATS = [
 
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
     """First format that fits, as a timestamp; NULL when none does."""
-    text = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats or DATE_FORMATS])
+    def read(text: Column) -> Column:
+        tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats or DATE_FORMATS]
+        return F.when(text != "", F.coalesce(*tries))
+
+    return let(F.trim(c), read)
 
 
 def month_start(publish_date: Column, as_of: Column) -> Column:

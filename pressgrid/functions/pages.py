@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pressgrid.functions.binding import let
 from pressgrid.functions.dates import parse_date
 from pressgrid.functions.text import key_snippet, truncate_text
 from pressgrid.functions.urls import domain_from_url, strip
@@ -72,12 +71,13 @@ def page_publish_date(html: Column, as_of: Column) -> Column:
 
 def page_body(html: Column) -> Column:
     """Paragraphs of the <article> (else of the page) over 20 characters, blank line between; NULL below 100."""
+    def joined(source: Column) -> Column:
+        blocks = F.regexp_extract_all(source, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+        return F.array_join(F.filter(F.transform(blocks, plain_text), lambda p: F.length(p) > PARAGRAPH_MIN), "\n\n")
+
     article = F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1)
-    source = F.when(article.rlike("(?i)<p[ >]"), article).otherwise(html)
-    blocks = F.regexp_extract_all(source, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
-    kept = F.filter(F.transform(blocks, plain_text), lambda p: F.length(p) > PARAGRAPH_MIN)
-    body = F.array_join(kept, "\n\n")
-    return F.when(F.length(body) >= BODY_MIN, body)
+    source = let(article, lambda a: F.when(a.rlike("(?i)<p[ >]"), a).otherwise(html))
+    return let(let(source, joined), lambda body: F.when(F.length(body) >= BODY_MIN, body))
 
 
 def extract_pages(pages: DataFrame, mode: str, as_of: Column, words: list[str] | None = None) -> DataFrame:
@@ -86,22 +86,24 @@ def extract_pages(pages: DataFrame, mode: str, as_of: Column, words: list[str] |
     'metadata' never touches the body, 'light' keeps key sentences around `words`,
     'full' keeps the whole body up to the storage cap.
     """
-    html = F.col("html")
-    title, body = page_title(html), page_body(html)
+    html, title, body = F.col("html"), F.col("_title"), F.col("_body")
+    found = pages.select(
+        "page_id", "url", page_title(html).alias("_title"), page_publish_date(html, as_of).alias("publish_date"),
+        *([] if mode == "metadata" else [page_body(html).alias("_body")]))
     if mode == "metadata":
         content, title = F.lit(None).cast("string"), F.coalesce(title, F.lit("No title"))
     elif mode == "light":
-        content = key_snippet(body, words or [])
+        found = found.withColumn("_snippet", key_snippet(body, words or []))
+        content = F.col("_snippet")
         title = F.coalesce(title, _lead(content))
     elif mode == "full":
         content = truncate_text(body, CONTENT_LIMIT)
         title = F.coalesce(title, F.get(F.split(body, "\n"), F.lit(0)))
     else:
         raise ValueError(f"mode must be 'metadata', 'light' or 'full', not {mode!r}")
-    return pages.select(
-        "page_id", "url", domain_from_url(F.col("url")).alias("domain"), title.alias("title"),
-        page_publish_date(html, as_of).alias("publish_date"), content.alias("content"),
-    )
+    return found.select(
+        "page_id", "url", domain_from_url(F.col("url")).alias("domain"), title.alias("title"), "publish_date",
+        content.alias("content"))
 
 
 def _lead(text: Column) -> Column:
@@ -116,20 +118,25 @@ def prefer_longer(first: Column, second: Column, minimum: int = BODY_MIN) -> Col
     return F.when(use, second).otherwise(first)
 
 
-def _contains_any(line: Column, marks: list[str]) -> Column:
-    return line.rlike("|".join(re.escape(m) for m in marks))
+def _present(text: Column, marks: list[str]) -> Column:
+    """The marks that occur in the whole text: lines are then tested for these only."""
+    return F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: text.contains(m))
+
 
+def _holds(line: Column, marks: Column) -> Column:
+    return F.exists(marks, lambda m: line.contains(m))
 
-def _is_chrome(line: Column) -> Column:
-    bare = strip(line)
+
+def _is_link_or_image(bare: Column) -> Column:
+    """A trimmed line that is an image, a short link or a row of links."""
     image = (
         bare.startswith("![") & bare.endswith(")") & (F.length(bare) < 200)
         & ~F.substr(bare, F.lit(4), F.lit(47)).contains("/")
     )
     label = F.substr(F.substring_index(bare, "](", 1), F.lit(2))
     link = bare.startswith("[") & bare.endswith(")") & bare.contains("](") & (F.length(label) < 50)
-    many = F.regexp_count(bare, F.lit(r"\]\(http")) > 2
-    return _contains_any(line, CHROME_MARKS + JOB_MARKS) | image | link | many
+    many = bare.contains("](http") & (F.regexp_count(bare, F.lit(r"\]\(http")) > 2)
+    return image | link | many
 
 
 def _squeeze(text: Column) -> Column:
@@ -141,22 +148,27 @@ def _drop_repeated_title(text: Column) -> Column:
     def clean(lines: Column) -> Column:
         numbered = F.transform(lines, lambda l, i: F.struct(strip(l).alias("s"), i.alias("i")))
         head = F.get(F.filter(numbered, lambda n: n["s"].startswith("# ")), F.lit(0))
-        title = strip(F.substr(head["s"], F.lit(3)))
-        kept = F.filter(lines, lambda l, i: ~((i < head["i"]) & (strip(l) == title)))
-        return F.when((F.size(lines) > 2) & head.isNotNull(), kept).otherwise(lines)
+        return let(head, lambda h: F.when(
+            (F.size(lines) > 2) & h.isNotNull(),
+            let(strip(F.substr(h["s"], F.lit(3))), lambda title: F.filter(
+                lines, lambda l, i: ~((i < h["i"]) & (strip(l) == title))))).otherwise(lines))
 
-    return F.array_join(F.get(F.transform(F.array(F.split(text, "\n")), clean), F.lit(0)), "\n")
+    return F.array_join(let(F.split(text, "\n"), clean), "\n")
 
 
 def strip_page_chrome(markdown: Column) -> Column:
     """Article text of a Markdown page: furniture lines out, links to text, images out, title once."""
-    def clean(lines: Column) -> Column:
-        ends = F.transform(lines, lambda l: _contains_any(l, END_MARKS))
-        stop = F.array_position(ends, F.lit(True))  # 1-based, 0 when absent
-        upto = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
-        return F.filter(upto, lambda l: ~_is_chrome(l))
+    def article_lines(text: Column) -> Column:
+        def until_end(lines: Column) -> Column:
+            stop = let(_present(text, END_MARKS), lambda ends: F.array_position(
+                F.transform(lines, lambda l: _holds(l, ends)), F.lit(True)))  # 1-based, 0 when absent
+            return let(stop, lambda s: F.when(s > 0, F.slice(lines, F.lit(1), (s - 1).cast("int"))).otherwise(lines))
+
+        kept = let(F.split(text, "\n"), until_end)
+        return let(_present(text, CHROME_MARKS + JOB_MARKS), lambda marks: F.filter(
+            kept, lambda l: ~(_holds(l, marks) | let(strip(l), _is_link_or_image))))
 
-    kept = F.get(F.transform(F.array(F.split(markdown, "\n")), clean), F.lit(0))
+    kept = let(markdown, article_lines)
     # leading blank lines would survive only in front of the text, where the last trim removes them
     text = _squeeze(F.array_join(kept, "\n"))
     text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]+\)", "$1")

@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, functions as F
 
+from pressgrid.functions.binding import let
 from pressgrid.functions.urls import strip
 
 # The two keyword families.
@@ -117,14 +118,16 @@ def passes_guard(content: Column, minimum: int = GUARD_LENGTH) -> Column:
 
 def _cut_at_sentence(text: Column, limit: int, floor: int) -> Column:
     """Cut a text longer than `limit`: after the last '. ', else '! ', else '? ' beyond `floor`, else at `limit`."""
-    head = F.substr(text, F.lit(1), F.lit(limit))
+    def shortened(long: Column) -> Column:
+        backwards = F.reverse(F.substr(long, F.lit(1), F.lit(limit)))
+        cuts = []
+        for mark in (". ", "! ", "? "):
+            at = F.locate(mark[::-1], backwards)  # from the end, 0 when absent
+            place = F.lit(limit) - at - (len(mark) - 1)  # 0-based place of the last occurrence
+            cuts.append(F.when((at > 0) & (place > floor), place + 1))
+        return F.substr(long, F.lit(1), F.coalesce(*cuts, F.lit(limit)))
 
-    def last(mark: str) -> Column:  # 0-based place of the last occurrence, -1 when absent
-        at = F.locate(mark[::-1], F.reverse(head))
-        return F.when(at > 0, F.lit(limit) - at - (len(mark) - 1)).otherwise(-1)
-
-    cut = F.coalesce(*[F.when(last(m) > floor, last(m) + 1) for m in (". ", "! ", "? ")], F.lit(limit))
-    return F.when(F.length(text) > limit, F.substr(text, F.lit(1), cut)).otherwise(text)
+    return let(text, lambda t: F.when(F.length(t) > limit, shortened(t)).otherwise(t))
 
 
 def key_snippet(content: Column, words: list[str]) -> Column:
@@ -138,11 +141,11 @@ def key_snippet(content: Column, words: list[str]) -> Column:
         return holds_any(F.lower(sentence), sought) if sought else F.lit(False)
 
     def around(sentences: Column) -> Column:
-        framed = F.transform(sentences, lambda s, i: F.struct(
-            s.alias("now"),
-            F.when(i > 0, F.get(sentences, i - 1)).alias("prev"),
-            F.get(sentences, i + 1).alias("next")))
-        hits = F.filter(framed, lambda f: hit(f["now"]))
+        def frame(s: Column, i: Column) -> Column:
+            prev = F.when(i > 0, F.get(sentences, i - 1))
+            return F.when(hit(s), F.struct(s.alias("now"), prev.alias("prev"), F.get(sentences, i + 1).alias("next")))
+
+        hits = F.filter(F.transform(sentences, frame), lambda f: f.isNotNull())
 
         def add(kept: Column, f: Column) -> Column:
             lead = F.when(f["prev"].isNull() | F.array_contains(kept, f["prev"]), F.array(f["now"])) \
@@ -153,11 +156,15 @@ def key_snippet(content: Column, words: list[str]) -> Column:
             return F.when(F.size(kept) >= 5, kept).otherwise(full)
 
         picked = F.aggregate(hits, F.array().cast("array<string>"), add)
-        return F.when(F.size(hits) > 0, _cut_at_sentence(F.array_join(picked, " "), 500, 200)) \
-            .otherwise(_cut_at_sentence(F.array_join(F.slice(sentences, 1, 3), " "), 300, 100))
+        opening = F.array_join(F.slice(sentences, 1, 3), " ")
+        return let(picked, lambda p: F.when(F.size(p) > 0, _cut_at_sentence(F.array_join(p, " "), 500, 200))
+                   .otherwise(_cut_at_sentence(opening, 300, 100)))
+
+    def whole(text: Column) -> Column:
+        sentences = let(F.split(text, r"(?<=[.!?])\s+"), around)
+        return F.when(text == "", text).otherwise(sentences)
 
-    once = F.transform(F.array(F.split(content, r"(?<=[.!?])\s+")), around)
-    return F.when(content.isNull() | (content == ""), F.lit("")).otherwise(F.get(once, F.lit(0)))
+    return let(F.coalesce(content, F.lit("")), whole)
 
 
 def shorten(c: Column, limit: int, empty: str | None = None) -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pressgrid.functions.binding import let
 from pressgrid.operators.lookup import is_small
 
 INLINE_ROWS = 20_000
@@ -67,8 +68,7 @@ def _inline(df: DataFrame, dictionary: DataFrame, texts: dict[str, Column]) -> D
         return F.transform(F.filter(found, lambda c: _stands_in(padded, c)), lambda c: c["entry"])
 
     out = df.withColumn("_index", index)
-    # the one-element array binds the padded text once for all candidates
-    cols = {o: F.get(F.transform(F.array(_padded(c)), matches), F.lit(0)) for o, c in texts.items()}
+    cols = {o: let(_padded(c), matches) for o, c in texts.items()}
     return out.withColumns(cols).drop("_index")
 
 

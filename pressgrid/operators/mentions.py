@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions.urls import any_of, extract_urls, is_article_url, match_url
 from pressgrid.operators.lookup import lookup
+from pressgrid.session import settle
 
 # Platforms a mention may come from (substring of its URL).
 PLATFORMS = ["x.com", "twitter.com"]
@@ -177,7 +178,7 @@ def add_shares(articles: DataFrame, matches: DataFrame) -> DataFrame:
 def mention_funnel(mentions: DataFrame, articles: DataFrame, brand: str) -> DataFrame:
     """Mentions left after each stage, distinct article URLs and matched URLs."""
     staged = mention_stages(mentions, brand)
-    counts = url_counts(mention_urls(staged.filter("relevant")))
+    counts = settle(url_counts(mention_urls(staged.filter("relevant"))))
     urls = counts.agg(F.count("*")).scalar()
     matched = match_mentions(counts, articles).agg(F.count("*")).scalar()
     return staged.agg(

@@ -12,7 +12,7 @@ from pressgrid.functions.dates import month_start, parse_date
 from pressgrid.functions.text import blank_to_null, mentions_brand
 from pressgrid.functions.urls import cleaned_url_keep_scheme, normalize_url
 from pressgrid.operators.joins import existing_urls
-from pressgrid.operators.lookup import lookup, salted_join
+from pressgrid.operators.lookup import is_small, lookup
 from pressgrid.operators.ordering import assign_ids, first_seen
 
 SCRAPE_MIN = 50
@@ -175,22 +175,44 @@ def count_deleted(articles: DataFrame, urls: DataFrame) -> DataFrame:
     return copies.join(doomed, "url", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("deleted"))
 
 
+PATTERN_LIST = 5_000
+
+
 def delete_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows matching none of the shortened URLs, where '...' stands for anything.
+    """Rows matching none of the shortened URLs, where '...' stands for anything (and _ for one character).
 
-    The fixed part before the first wildcard is compared by equality: URLs are cut to the
-    lengths that occur among the patterns, so URLs and patterns meet in a key join, not pairwise.
+    A URL shortened at its end is a prefix: URLs are cut to the lengths that occur among the
+    prefixes and meet them in a key join, so any number of prefixes is fine. Patterns with a
+    wildcard elsewhere are tested in the scan while they are few (measured), their fixed parts
+    first; else against the URLs that share their fixed start.
     """
     wild = patterns.select(F.replace("url", F.lit("..."), F.lit("%")).alias("_like")).distinct() \
-        .withColumn("_stem", F.regexp_extract("_like", r"^[^%_\\]*", 0))
-    lengths = wild.agg(F.collect_set(F.length("_stem"))).scalar()  # at most one per URL length
-    stems = (
-        articles.select("url").filter(F.col("url").isNotNull()).distinct().withColumn("_sizes", lengths)
-        .withColumn("_size", F.explode("_sizes")).filter(F.col("_size") <= F.length("url"))
-        .select("url", F.substr("url", F.lit(1), F.col("_size")).alias("_stem"))
+        .withColumn("_stem", F.regexp_extract("_like", r"^[^%_]*", 0))
+    is_prefix = F.col("_like") == F.concat("_stem", F.lit("%"))
+    is_exact = F.col("_like") == F.col("_stem")
+    urls = articles.select("url").filter(F.col("url").isNotNull()).distinct()
+    doomed = lookup(_starts(urls, wild.filter(is_prefix)), wild.filter(is_prefix).select("_stem"), "_stem", "left_semi") \
+        .select("url").unionByName(wild.filter(is_exact).select(F.col("_like").alias("url")))
+    other = wild.filter(~is_prefix & ~is_exact)
+    if is_small(other, PATTERN_LIST):
+        longest = F.aggregate(F.split("_like", "[%_]"), F.lit(""), lambda best, part: F.when(
+            F.length(part) > F.length(best), part).otherwise(best))
+        listed = other.agg(F.collect_list(F.struct("_stem", longest.alias("part"), "_like"))).scalar()
+        hit = "exists(_list, p -> startswith(url, p._stem) AND contains(url, p.part) AND url LIKE p._like)"
+        articles = articles.withColumn("_list", listed).filter(F.expr(f"NOT coalesce({hit}, false)")).drop("_list")
+    else:
+        hits = _starts(urls, other).join(other, "_stem").filter(F.expr("url LIKE _like"))
+        doomed = doomed.unionByName(hits.select("url"))
+    return _without(articles, doomed.distinct(), "url")
+
+
+def _starts(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The beginnings of each URL that are as long as some pattern's fixed start."""
+    lengths = patterns.agg(F.collect_set(F.length("_stem"))).scalar()  # at most one per URL length
+    return (
+        urls.withColumn("_sizes", lengths).withColumn("_size", F.explode("_sizes"))
+        .filter(F.col("_size") <= F.length("url")).select("url", F.substr("url", F.lit(1), F.col("_size")).alias("_stem"))
     )
-    doomed = stems.join(wild, "_stem").filter(F.expr("url LIKE _like")).select("url").distinct()
-    return _without(articles, doomed, "url")
 
 
 def delete_null_ids(articles: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pressgrid.operators.ordering import number_rows
 from pressgrid.operators.transforms import ingest_row_build
 from pressgrid.plans.enrich import enrich_backlog
 from pressgrid.schemas import conform
+from pressgrid.session import settle
 
 
 def intake_rows(
@@ -51,8 +52,9 @@ def sync_mentions(
     mentions: DataFrame, articles: DataFrame, brand: str, as_of: Column, **options,
 ) -> tuple[DataFrame, DataFrame]:
     """(articles with raised share counts, one audit row per matched mention URL)."""
-    counts = url_counts(mention_urls(relevant_mentions(mentions, brand, **options)))
-    matches = match_mentions(counts, articles)
+    # both are used several times below and are narrow: written once instead of recomputed
+    counts = settle(url_counts(mention_urls(relevant_mentions(mentions, brand, **options))))
+    matches = settle(match_mentions(counts, articles))
     updated = add_shares(articles, matches)
     totals = updated.filter(F.col("id").isNotNull()).select("id", F.col("social_shares_count").alias("new_total"))
     audit = matches.join(totals, "id").select(
