@@ -85,12 +85,17 @@ def _names(spark, d, dictionary: str, name: str, text: str = "content", how: str
     return match_names(slim, entries(names, name, **attrs), {"found": F.col(text)}, ROW, how).drop(text)
 
 
+def listed_only(value):
+    """Rows with a value only. A filter would be moved below the matching and repeat it; explode is not."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 @check("match_spokespeople", "articles people", f"""
 SELECT a.updated_at, a.url, {listed('p.spokesperson_name')} AS people FROM articles a
 JOIN people p ON {found_sql('a.content', 'p.spokesperson_name')} GROUP BY 1, 2""", text="updated_at")
 def _(spark, d):
     found = _names(spark, d, "people", "spokesperson_name")
-    return found.select("updated_at", "url", joined_values("found", "name").alias("people")).filter("people IS NOT NULL")
+    return found.select("updated_at", "url", listed_only(joined_values("found", "name")).alias("people"))
 
 
 @check("match_investors", "articles investors", f"""
@@ -99,8 +104,8 @@ JOIN investors p ON {found_sql('a.content', 'p.investor')} GROUP BY 1, 2""", tex
 def _(spark, d):
     found = _names(spark, d, "investors", "investor", rank="rank")
     return found.select(
-        "updated_at", "url", joined_values("found", "name").alias("investors"),
-        joined_values("found", "rank").alias("ranks")).filter("investors IS NOT NULL")
+        "updated_at", "url", listed_only(joined_values("found", "name")).alias("investors"),
+        joined_values("found", "rank").alias("ranks"))
 
 
 @check("match_reporters", "articles reporters", f"""
@@ -108,7 +113,7 @@ SELECT a.updated_at, a.url, {listed('p.tagged_reporter')} AS reporters FROM arti
 JOIN reporters p ON {found_sql('a.content', 'p.tagged_reporter')} GROUP BY 1, 2""", text="updated_at")
 def _(spark, d):
     found = _names(spark, d, "reporters", "tagged_reporter")
-    return found.select("updated_at", "url", joined_values("found", "name").alias("reporters")).filter("reporters IS NOT NULL")
+    return found.select("updated_at", "url", listed_only(joined_values("found", "name")).alias("reporters"))
 
 
 COMPANY = dict(location="portco_location", lead="portco_deal_lead", ai="ai", vehicle="vehicle")

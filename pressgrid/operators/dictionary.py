@@ -7,9 +7,9 @@ whole token of any text the name matches, so only names filed under a token of
 the text need the exact test. Names without such a run are filed under '',
 which every padded text has. Nothing is lost either way.
 
-Small dictionaries (measured) travel as one indexed value and the test runs in
-the scan: no shuffle, and article bodies never move. Larger ones are joined on
-the token.
+Small dictionaries (measured) travel as one indexed constant and the test runs
+in the scan: no shuffle, and article bodies never move. Larger ones are joined
+on the token.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pressgrid.functions.binding import let
 from pressgrid.operators.lookup import is_small
 
-INLINE_ROWS = 20_000
-INLINE_BYTES = 4 << 20
+INLINE_ROWS = 2_000
+INLINE_BYTES = 1 << 20
 TOKEN_SALTS = 16
 _SEPARATOR = "[^a-z0-9]+"
 
@@ -60,16 +60,17 @@ def _by_token(dictionary: DataFrame) -> DataFrame:
 
 
 def _inline(df: DataFrame, dictionary: DataFrame, texts: dict[str, Column]) -> DataFrame:
-    index = _by_token(dictionary).agg(F.map_from_entries(F.collect_list(F.struct("token", "candidates")))).scalar()
+    indexed = _by_token(dictionary).agg(F.map_from_entries(F.collect_list(F.struct("token", "candidates"))).alias("m"))
+    # a constant is shared by all rows; a column or subquery would be copied into each of them
+    as_json = indexed.select(F.to_json("m")).first()[0]
+    index = F.from_json(F.lit(as_json), indexed.schema["m"].dataType.simpleString())
 
     def matches(padded: Column) -> Column:
-        tokens = F.array_intersect(F.split(padded, _SEPARATOR), F.map_keys("_index"))
-        found = F.flatten(F.transform(tokens, lambda t: F.element_at("_index", t)))
+        tokens = F.array_intersect(F.split(padded, _SEPARATOR), F.map_keys(index))
+        found = F.flatten(F.transform(tokens, lambda t: F.element_at(index, t)))
         return F.transform(F.filter(found, lambda c: _stands_in(padded, c)), lambda c: c["entry"])
 
-    out = df.withColumn("_index", index)
-    cols = {o: let(_padded(c), matches) for o, c in texts.items()}
-    return out.withColumns(cols).drop("_index")
+    return df.withColumns({out: let(_padded(text), matches) for out, text in texts.items()})
 
 
 def _joined(df: DataFrame, dictionary: DataFrame, texts: dict[str, Column], key: list[str]) -> DataFrame:

@@ -198,8 +198,9 @@ def delete_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFrame:
         longest = F.aggregate(F.split("_like", "[%_]"), F.lit(""), lambda best, part: F.when(
             F.length(part) > F.length(best), part).otherwise(best))
         listed = other.agg(F.collect_list(F.struct("_stem", longest.alias("part"), "_like"))).scalar()
-        hit = "exists(_list, p -> startswith(url, p._stem) AND contains(url, p.part) AND url LIKE p._like)"
-        articles = articles.withColumn("_list", listed).filter(F.expr(f"NOT coalesce({hit}, false)")).drop("_list")
+        hit = "exists(_list, p -> startswith(u, p._stem) AND contains(u, p.part) AND u LIKE p._like)"
+        spared = F.expr(f"NOT coalesce(transform(array(url), u -> {hit})[0], false)")
+        articles = articles.withColumn("_list", listed).filter(spared).drop("_list")
     else:
         hits = _starts(urls, other).join(other, "_stem").filter(F.expr("url LIKE _like"))
         doomed = doomed.unionByName(hits.select("url"))

@@ -107,12 +107,14 @@ def enrich_articles(
     table = conform(articles)
     if assign_missing_ids:
         table = fill_missing_ids(table)
-    due = F.col("url").isNotNull() & (F.trim("url") != "") & F.col("id").isNotNull()
-    deep = due & text.passes_guard(F.col("content"))
-    rows = normalize_fields(table, brand, as_of, due, recompute)
+    named = F.col("url").isNotNull() & (F.trim("url") != "") & F.col("id").isNotNull()
+    # decided once per row and carried as columns, not tested again in every step
+    rows = table.withColumns({"_due": named, "_deep": named & text.passes_guard(F.col("content"))})
+    due, deep = F.col("_due"), F.col("_deep")
+    rows = normalize_fields(rows, brand, as_of, due, recompute)
     rows = match_fields(rows, dictionaries.names(), deep, how)
     rows = keyword_fields(rows, deep, kill_pill or text.KILL_PILL, unwanted or text.UNWANTED, boundary)
-    return domain_lookup(rows, dictionaries.media, ROW_KEY, apply=deep)
+    return domain_lookup(rows, dictionaries.media, ROW_KEY, apply=deep).drop("_due", "_deep")
 
 
 def enrichment_log(enriched: DataFrame, run_id: Column, started: Column, ts: Column) -> DataFrame:
