@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions.urls import normalize_domain, normalize_url
-from pressgrid.operators.lookup import lookup, salted_join
+from pressgrid.operators.lookup import is_small, lookup, salted_join
 
 
-def _known(table: DataFrame, key: Column, name: str = "_key") -> DataFrame:
-    return table.select(key.alias(name)).filter(F.col(name).isNotNull()).distinct()
+def known_keys(table: DataFrame, key: Column, wanted: DataFrame, name: str = "_key") -> DataFrame:
+    """The wanted keys a table holds, each once.
+
+    A batch of wanted keys that is measured small goes to the table, so the
+    table's keys are only scanned; otherwise they are made distinct map-side first.
+    """
+    keys = table.select(key.alias(name)).filter(F.col(name).isNotNull())
+    if is_small(wanted):
+        keys = keys.join(F.broadcast(wanted), name, "left_semi")
+    return keys.distinct()
 
 
 def existing_urls(urls: DataFrame, articles: DataFrame, how: str = "left_semi") -> DataFrame:
     """Input rows, as spelled, whose normalised URL is in the table."""
     keyed = urls.withColumn("_key", normalize_url(F.col("url")))
-    return salted_join(keyed, _known(articles, F.col("url")), "_key", how).drop("_key")
+    known = known_keys(articles, F.col("url"), keyed.select("_key").distinct())
+    return salted_join(keyed, known, "_key", how).drop("_key")
 
 
 def new_rows_only(rows: DataFrame, articles: DataFrame) -> DataFrame:
@@ -26,9 +35,9 @@ def new_rows_only(rows: DataFrame, articles: DataFrame) -> DataFrame:
 
 def classify_urls(urls: DataFrame, articles: DataFrame, queue: DataFrame) -> DataFrame:
     """Each distinct normalised URL as in_main_table, in_queue or new."""
-    wanted = _known(urls, normalize_url(F.col("url")), "url")
-    main = _known(articles, F.col("url"), "url").withColumn("_main", F.lit(True))
-    queued = _known(queue, F.col("url"), "url").withColumn("_queued", F.lit(True))
+    wanted = urls.select(normalize_url(F.col("url")).alias("url")).filter("url IS NOT NULL").distinct()
+    main = known_keys(articles, F.col("url"), wanted, "url").withColumn("_main", F.lit(True))
+    queued = known_keys(queue, F.col("url"), wanted, "url").withColumn("_queued", F.lit(True))
     status = F.when(F.col("_main"), "in_main_table").when(F.col("_queued"), "in_queue").otherwise("new")
     # all three sides hold each URL once: no key can be hot
     return wanted.join(main, "url", "left").join(queued, "url", "left").select("url", status.alias("status"))

@@ -87,18 +87,18 @@ def url_counts(urls: DataFrame) -> DataFrame:
 
 
 def article_keys(articles: DataFrame) -> DataFrame:
-    """One article (smallest id) per matching form of its URL; rows without id or URL cannot be updated."""
-    return (
-        articles.filter(F.col("id").isNotNull() & F.col("url").isNotNull())
-        .groupBy(match_url(F.col("url")).alias("article_url")).agg(F.min("id").alias("id"))
-        .filter(F.col("article_url") != "")
-    )
+    """Id and matching form of the URL of every article that can be updated (it has both)."""
+    keyed = articles.select("id", match_url(F.col("url")).alias("article_url"))
+    return keyed.filter(F.col("id").isNotNull() & (F.col("article_url") != ""))
 
 
 def match_exact(counts: DataFrame, articles: DataFrame) -> DataFrame:
-    """Mention URLs equal to an article URL."""
-    keys = article_keys(articles).withColumn("mention_url", F.col("article_url"))
-    return counts.join(keys, "mention_url").select("mention_url", "shares", "id", "article_url")
+    """Mention URLs equal to an article URL (smallest id), with their shares."""
+    keys = article_keys(articles).withColumnRenamed("article_url", "mention_url")
+    # the mention URLs go to the articles when few; copies of an article are folded map-side
+    hits = lookup(keys, counts, "mention_url", "inner", spread=["id"])
+    return hits.groupBy("mention_url").agg(F.min("shares").alias("shares"), F.min("id").alias("id")) \
+        .withColumn("article_url", F.col("mention_url"))
 
 
 def _with_scheme(url: Column) -> Column:
@@ -124,7 +124,7 @@ def _pieces(df: DataFrame, url: str, lengths: DataFrame) -> DataFrame:
     )
 
 
-def match_partial(counts: DataFrame, articles: DataFrame) -> DataFrame:
+def match_partial(counts: DataFrame, articles: DataFrame, exact: DataFrame | None = None) -> DataFrame:
     """For mention URLs equal to no article: the article whose URL contains or is contained in the mention's.
 
     The longest shared text wins, then the smallest id. URLs start with a
@@ -133,23 +133,23 @@ def match_partial(counts: DataFrame, articles: DataFrame) -> DataFrame:
     on such starts: work grows with the number of URLs, not with their pairs,
     however many share a host.
     """
+    exact = match_exact(counts, articles) if exact is None else exact
+    open_counts = counts.join(exact.select("mention_url"), "mention_url", "left_anti")
     keys = article_keys(articles)
-    open_counts = counts.join(keys.select(F.col("article_url").alias("mention_url")), "mention_url", "left_anti")
     wanted = open_counts.select("mention_url", _with_scheme(F.col("mention_url")).alias("piece"))
-    stored = keys.select("id", "article_url", _with_scheme(F.col("article_url")).alias("piece"))
+    stored = keys.withColumn("piece", _with_scheme(F.col("article_url")))
 
-    def best(candidates: DataFrame) -> DataFrame:
-        return candidates.groupBy("mention_url").agg(F.min_by(F.struct("id", "article_url"), "id").alias("_a"))
+    def smallest(candidates: DataFrame, by: str) -> DataFrame:
+        return candidates.groupBy(by).agg(F.min_by(F.struct("id", "article_url"), "id").alias("_a"))
 
     # mention inside article: the shared text is the whole mention, so this direction wins
-    inside = best(lookup(
-        _pieces(keys, "article_url", wanted.select(F.length("piece").alias("n"))), wanted, "piece", "inner",
-        spread=["id"]))
+    starts = _pieces(keys, "article_url", wanted.select(F.length("piece").alias("n")))
+    inside = smallest(lookup(starts, wanted, "piece", "inner", spread=["id"]), "mention_url")
     # article inside mention: longest article, then smallest id
+    pieces = _pieces(open_counts.select("mention_url"), "mention_url", stored.select(F.length("piece").alias("n")))
+    present = smallest(lookup(stored, pieces.select("piece").distinct(), "piece", "left_semi", spread=["id"]), "piece")
     around = (
-        _pieces(open_counts.select("mention_url"), "mention_url", stored.select(F.length("piece").alias("n")))
-        .join(stored.groupBy("piece").agg(F.min_by(F.struct("id", "article_url"), "id").alias("_a")), "piece")
-        .groupBy("mention_url")
+        lookup(pieces, present, "piece", "inner").groupBy("mention_url")
         .agg(F.max_by("_a", F.struct(F.length("piece").alias("n"), (-F.col("_a.id")).alias("i"))).alias("_b"))
     )
     return (
@@ -161,9 +161,9 @@ def match_partial(counts: DataFrame, articles: DataFrame) -> DataFrame:
 
 def match_mentions(counts: DataFrame, articles: DataFrame) -> DataFrame:
     """Exact matches, then partial ones for the rest."""
-    kind = "match_kind"
-    return match_exact(counts, articles).withColumn(kind, F.lit("exact")).unionByName(
-        match_partial(counts, articles).withColumn(kind, F.lit("partial")))
+    exact = match_exact(counts, articles)
+    return exact.withColumn("match_kind", F.lit("exact")).unionByName(
+        match_partial(counts, articles, exact).withColumn("match_kind", F.lit("partial")))
 
 
 def add_shares(articles: DataFrame, matches: DataFrame) -> DataFrame:

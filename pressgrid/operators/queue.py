@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions.urls import normalize_url
+from pressgrid.operators.joins import known_keys
 from pressgrid.operators.views import oldest
 
 ERROR_LIMIT = 500
@@ -30,7 +31,8 @@ def intake(urls: DataFrame, articles: DataFrame, queue: DataFrame, own_site: str
     """
     wanted = urls.groupBy(normalize_url(F.col("url")).alias("url")).agg(
         F.min("pos").alias("pos"), F.count("*").alias("copies")).filter(F.col("url") != "")
-    known = articles.select("url").union(queue.select("url")).distinct().withColumn("_known", F.lit(True))
+    stored = articles.select("url").union(queue.select("url"))
+    known = known_keys(stored, F.col("url"), wanted.select("url"), "url").withColumn("_known", F.lit(True))
     decision = F.when(F.lower("url").contains(own_site.lower()), "own_site") \
         .when(F.col("_known"), "duplicate").otherwise("added")
     return wanted.join(known, "url", "left").select("url", "pos", "copies", decision.alias("decision"))

@@ -169,10 +169,9 @@ def delete_by_url(articles: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def count_deleted(articles: DataFrame, urls: DataFrame) -> DataFrame:
-    """How many rows `delete_by_url` removes (one narrow join of distinct URLs)."""
-    doomed = urls.select(normalize_url(F.col("url")).alias("url")).distinct()
-    copies = articles.groupBy("url").agg(F.count("*").alias("n"))
-    return copies.join(doomed, "url", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("deleted"))
+    """How many rows `delete_by_url` removes."""
+    doomed = urls.select(normalize_url(F.col("url")).alias("url")).filter("url IS NOT NULL").distinct()
+    return lookup(articles.select("url"), doomed, "url", "left_semi").agg(F.count("*").alias("deleted"))
 
 
 PATTERN_LIST = 5_000

@@ -1,6 +1,6 @@
 """The polling loops as Structured Streaming jobs.
 
-Each job has a `…_query` form that starts the stream into a folder. Results are
+Each `…_query` function starts a stream into a folder. Results are
 written per micro-batch under `batch_id=N`, replacing that folder, so a repeated
 batch leaves no double rows.
 """
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressgrid.functions.urls import normalize_url
-from pressgrid.operators.mentions import article_keys, mention_urls, relevant_mentions
+from pressgrid.operators.joins import known_keys
+from pressgrid.operators.mentions import match_exact, mention_urls, relevant_mentions
 from pressgrid.operators.ordering import first_seen
 from pressgrid.plans.enrich import Dictionaries, enrich_articles
 
@@ -29,10 +30,14 @@ def read_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", fi
 
 def _per_batch(
     stream: DataFrame, out: str, work: Callable[[DataFrame, int], DataFrame], mode: str = "append",
-    trigger: dict | None = None,
+    trigger: dict | None = None, reuse: bool = False,
 ) -> StreamingQuery:
     def store(batch: DataFrame, batch_id: int) -> None:
+        if reuse:  # `work` reads the batch more than once
+            batch = batch.persist()
         work(batch, batch_id).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        if reuse:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{out}/state")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -72,13 +77,14 @@ def dedupe_query(
 
     def work(batch: DataFrame, batch_id: int) -> DataFrame:
         normal = batch.withColumn("url", normalize_url(F.col("url"))).filter(F.col("url") != "")
-        fresh = first_seen(normal, "url", pos).join(known.select("url").distinct(), "url", "left_anti")
+        fresh = first_seen(normal, "url", pos)
+        seen = known.select("url")
         if batch_id > 0:
-            earlier = stored(spark, out).filter(F.col("batch_id") < batch_id)
-            fresh = fresh.join(earlier.select("url"), "url", "left_anti")
-        return fresh
+            seen = seen.unionByName(stored(spark, out).filter(F.col("batch_id") < batch_id).select("url"))
+        # only the batch's own URLs are looked for, so the known ones are scanned, not shuffled
+        return fresh.join(known_keys(seen, F.col("url"), fresh.select("url"), "url"), "url", "left_anti")
 
-    return _per_batch(urls, out, work, trigger=trigger)
+    return _per_batch(urls, out, work, trigger=trigger, reuse=True)
 
 
 def queue_state_query(log: DataFrame, out: str, trigger: dict | None = None) -> StreamingQuery:
@@ -113,10 +119,9 @@ def share_count_query(
     counts = mention_urls(relevant_mentions(mentions, brand)).groupBy("mention_url").agg(F.count("*").alias("shares"))
 
     def work(batch: DataFrame, batch_id: int) -> DataFrame:
-        keys = article_keys(articles)
-        return batch.join(keys, batch["mention_url"] == keys["article_url"]).select("mention_url", "id", "shares")
+        return match_exact(batch, articles).select("mention_url", "id", "shares")
 
-    return _per_batch(counts, out, work, "update", trigger)
+    return _per_batch(counts, out, work, "update", trigger, reuse=True)
 
 
 def error_count_query(
