@@ -9,15 +9,18 @@ which every padded text has. Nothing is lost either way.
 
 Small dictionaries (measured) travel as one indexed constant and the test runs
 in the scan: no shuffle, and article bodies never move. Larger ones are joined
-on the token.
+on the token, under the run that fewest names share.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions.binding import let
-from pressgrid.operators.lookup import is_small
+from pressgrid.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, is_small
 
 INLINE_ROWS = 2_000
 INLINE_BYTES = 1 << 20
@@ -73,25 +76,42 @@ def _inline(df: DataFrame, dictionary: DataFrame, texts: dict[str, Column]) -> D
     return df.withColumns({out: let(_padded(text), matches) for out, text in texts.items()})
 
 
+def _filed_by_rarest(dictionary: DataFrame) -> DataFrame:
+    """As `_filed`, but under the run that fewest names share: common words do not gather all names."""
+    runs = F.filter(F.array_distinct(F.split(F.col("candidate.needle"), _SEPARATOR)), lambda r: r != "")
+    each = _filed(dictionary).select("candidate", F.explode_outer(runs).alias("run"))
+    shared = each.filter("run IS NOT NULL").groupBy("run").agg(F.count("*").alias("n"))
+    return (
+        each.join(shared, "run", "left").groupBy("candidate")
+        .agg(F.coalesce(F.min_by("run", F.struct("n", "run")), F.lit("")).alias("token"))
+    )
+
+
+def _same_key(key: list[str], prefix: str) -> Column:
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in key])
+
+
 def _joined(df: DataFrame, dictionary: DataFrame, texts: dict[str, Column], key: list[str]) -> DataFrame:
-    salted = _by_token(dictionary).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))))
+    filed = _filed_by_rarest(dictionary)
+    fits = is_small(filed, BROADCAST_ROWS, BROADCAST_BYTES)
     for out, text in texts.items():
         padded = df.select(*key, _padded(text).alias("_padded"))
+        tokens = padded.withColumn("token", F.explode(F.array_distinct(F.split("_padded", _SEPARATOR))))
+        if fits:  # the text is only referred to while the tokens stream past the broadcast names
+            pairs = tokens.join(F.broadcast(filed), "token")
+        else:  # tokens travel without the text; it is fetched again for the candidates
+            salted = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))))
+            narrow = (
+                tokens.drop("_padded").withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(TOKEN_SALTS)).cast("int"))
+                .join(salted, ["token", "_salt"]).select(*[F.col(k).alias(f"_c_{k}") for k in key], "candidate")
+            )
+            pairs = padded.join(narrow, _same_key(key, "_c_"))
         found = (
-            padded.withColumn("token", F.explode(F.array_distinct(F.split("_padded", _SEPARATOR))))
-            .withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(TOKEN_SALTS)).cast("int"))
-            .join(salted, ["token", "_salt"])
-            .select(*key, F.transform(
-                F.filter("candidates", lambda c: _stands_in(F.col("_padded"), c)), lambda c: c["entry"]).alias(out))
-            .filter(F.size(out) > 0)
-            .groupBy(*[F.col(k).alias(f"_{k}") for k in key])
-            .agg(F.flatten(F.collect_list(out)).alias(out))  # at most the dictionary per text
+            pairs.filter(_stands_in(F.col("_padded"), F.col("candidate")))
+            .groupBy(*[F.col(k).alias(f"_f_{k}") for k in key])
+            .agg(F.collect_set("candidate.entry").alias(out))  # at most the dictionary per text
         )
-        same = F.lit(True)
-        for k in key:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        df = df.join(found, same, "left").drop(*[f"_{k}" for k in key])
+        df = df.join(found, _same_key(key, "_f_"), "left").drop(*[f"_f_{k}" for k in key])
     return df
 
 

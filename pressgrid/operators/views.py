@@ -169,8 +169,12 @@ def page(df: DataFrame, number: int, size: int = 50, by: str = "updated_at", tie
 def page_after(df: DataFrame, after: tuple | None, size: int = 50, by: str = "updated_at", tie: str = "url") -> DataFrame:
     """Keyset form for deep pages: rows following the last (time, tie) seen; cost does not grow with depth."""
     if after is not None:
-        when, last = F.lit(after[0]), F.lit(after[1])
-        df = df.filter((F.col(by) < when) | ((F.col(by) == when) & (F.col(tie) > last)) | F.col(by).isNull())
+        last = F.col(tie) > F.lit(after[1])
+        if after[0] is None:  # within the rows without a time
+            df = df.filter(F.col(by).isNull() & last)
+        else:
+            when = F.lit(after[0])
+            df = df.filter((F.col(by) < when) | ((F.col(by) == when) & last) | F.col(by).isNull())
     return newest(df, size, by, tie)
 
 
