@@ -20,7 +20,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions.binding import let
-from pressgrid.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, is_small
+from pressgrid.operators.lookup import is_small
 
 INLINE_ROWS = 2_000
 INLINE_BYTES = 1 << 20
@@ -93,7 +93,7 @@ def _same_key(key: list[str], prefix: str) -> Column:
 
 def _joined(df: DataFrame, dictionary: DataFrame, texts: dict[str, Column], key: list[str]) -> DataFrame:
     filed = _filed_by_rarest(dictionary)
-    fits = is_small(filed, BROADCAST_ROWS, BROADCAST_BYTES)
+    fits = is_small(filed)
     for out, text in texts.items():
         padded = df.select(*key, _padded(text).alias("_padded"))
         tokens = padded.withColumn("token", F.explode(F.array_distinct(F.split("_padded", _SEPARATOR))))

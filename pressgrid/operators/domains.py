@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions.urls import normalize_domain
+from pressgrid.operators.lookup import lookup
 from pressgrid.operators.ordering import assign_ids
 
 # Scores given to a domain whose page rank has no usable profile.
@@ -44,8 +45,7 @@ def impute_domains(new: DataFrame, media: DataFrame) -> DataFrame:
     )
     known = media.select(normalize_domain(F.col("domain")).alias("domain")).distinct()
     missing = wanted.join(known, "domain", "left_anti")
-    # a profile has one row per page rank, 0 to 10
-    rated = missing.join(F.broadcast(signal_profile(media)), "page_rank", "left")
+    rated = lookup(missing, signal_profile(media), "page_rank")
     usable = F.coalesce(F.col("avg_llm") != 0, F.lit(False))
 
     def score(avg: str, fallback: int) -> Column:

@@ -189,7 +189,7 @@ def delete_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFrame:
         .withColumn("_stem", F.regexp_extract("_like", r"^[^%_]*", 0))
     is_prefix = F.col("_like") == F.concat("_stem", F.lit("%"))
     is_exact = F.col("_like") == F.col("_stem")
-    urls = articles.select("url").filter(F.col("url").isNotNull()).distinct()
+    urls = articles.select("url").filter(F.col("url").isNotNull())
     doomed = lookup(_starts(urls, wild.filter(is_prefix)), wild.filter(is_prefix).select("_stem"), "_stem", "left_semi") \
         .select("url").unionByName(wild.filter(is_exact).select(F.col("_like").alias("url")))
     other = wild.filter(~is_prefix & ~is_exact)
@@ -201,7 +201,7 @@ def delete_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFrame:
         spared = F.expr(f"NOT coalesce(transform(array(url), u -> {hit})[0], false)")
         articles = articles.withColumn("_list", listed).filter(spared).drop("_list")
     else:
-        hits = _starts(urls, other).join(other, "_stem").filter(F.expr("url LIKE _like"))
+        hits = _starts(urls.distinct(), other).join(other, "_stem").filter(F.expr("url LIKE _like"))
         doomed = doomed.unionByName(hits.select("url"))
     return _without(articles, doomed.distinct(), "url")
 

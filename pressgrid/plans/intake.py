@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions.pages import extract_pages
 from pressgrid.operators.joins import new_rows_only
-from pressgrid.operators.lookup import salted_join
+from pressgrid.operators.lookup import lookup, salted_join
 from pressgrid.operators.mentions import add_shares, match_mentions, mention_urls, relevant_mentions, url_counts
 from pressgrid.operators.ordering import number_rows
 from pressgrid.operators.transforms import ingest_row_build
@@ -57,7 +57,7 @@ def sync_mentions(
     matches = settle(match_mentions(counts, articles))
     updated = add_shares(articles, matches)
     totals = updated.filter(F.col("id").isNotNull()).select("id", F.col("social_shares_count").alias("new_total"))
-    audit = matches.join(totals, "id").select(
+    audit = lookup(totals, matches, "id", "inner").select(
         as_of.alias("ts"), F.col("id").alias("article_id"), "article_url", "mention_url",
         F.col("shares").alias("shares_added"), "new_total", "match_kind")
     return updated, audit

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pressgrid import schemas
 from pressgrid.functions.urls import match_url
-from pressgrid.operators import dedupe, dictionary, joins, lookup, mentions, ordering, quality, queue, transforms, views
+from pressgrid.operators import dedupe, joins, lookup, mentions, ordering, quality, queue, transforms, views
 from pressgrid.operators.dictionary import entries, joined_values, match_names
 from pressgrid.operators.domains import impute_domains
 from pressgrid.plans import enrich
@@ -40,7 +40,7 @@ def test_salted_join_equals_plain_join(spark, how):
         .otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"))
     right = spark.range(0, 700, 2).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") * 10).alias("v")) \
         .unionByName(spark.createDataFrame([("hot", -1)], "k string, v long"))
-    salted = lookup.salted_join(left, right, "k", how, hot_rows=100, salts=7)
+    salted = lookup.salted_join(left, right, "k", how, hot_rows=100)
     assert rows(salted.select(*left.join(right, "k", how).columns)) == rows(left.join(right, "k", how))
 
 
@@ -128,7 +128,7 @@ def test_dictionary_forms_agree_with_brute_force(spark, monkeypatch):
         hit = sorted({n for n in NAMES if re.search(f"[^a-z0-9]{re.escape(n.lower())}[^a-z0-9]", padded)}, key=lambda n: n.encode())
         want.append((i, ", ".join(hit) or None))
     for how, limit in (("inline", 10), ("join", 10), ("join", 0)):
-        monkeypatch.setattr(dictionary, "BROADCAST_ROWS", limit * 1000)
+        monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit * 1000)
         got = match_names(texts, entries(names, "name"), {"f": F.col("t")}, ["i"], how)
         assert sorted(rows(got.select("i", joined_values("f", "name").alias("o")))) == want, how
 
