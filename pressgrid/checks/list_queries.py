@@ -9,6 +9,7 @@ from pressgrid.checks.views import view
 from pressgrid.operators import quality, queue, views
 from pressgrid.operators.ordering import batches
 from pressgrid.schemas import REQUIRED_FIELDS, conform
+from pressgrid.sources.tables import schema_report
 
 NOW = "(SELECT max(updated_at) FROM articles)"
 NEWEST = "ORDER BY updated_at DESC NULLS LAST, url ASC NULLS FIRST"
@@ -348,9 +349,9 @@ def _(spark, d):
     return batches(rows, 100, F.asc("updated_at"), F.asc("url"))
 
 
-@check("schema_report")
+@check("schema_report", "tracked", """
+SELECT CAST(row_number() OVER () AS BIGINT) AS ordinal, column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint'
+  WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp' ELSE column_type END AS data_type
+FROM (DESCRIBE SELECT * FROM tracked)""")
 def _(spark, d):
-    from pressgrid.sources.tables import schema_report
-    return schema_report(conform(view(spark, d, "articles")))
-
-
+    return schema_report(view(spark, d, "tracked")).drop("is_nullable")
