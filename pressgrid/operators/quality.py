@@ -7,7 +7,6 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressgrid.functions.urls import normalize_url
 from pressgrid.schemas import QUEUE_STATES, REQUIRED_FIELDS
 
 
