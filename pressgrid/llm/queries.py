@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
+from pressgrid.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +45,28 @@ SELECT doc_id, len(g) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = g
 """)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents"), width=4, percent=85)
+
+
+@query("op9_line_dedup", r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+repeated AS (SELECT k, min(doc_id) AS keeper FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT keyed.*, coalesce(keeper <> doc_id, FALSE) AS dropped FROM keyed LEFT JOIN repeated USING (k))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        with_ids=False)
