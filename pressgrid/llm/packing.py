@@ -20,39 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from pressgrid.llm.buffers import slices
 
-SENTENCE_CUT, INNER_CUT = 2, 8  # in tokens of padding; the end of a document costs nothing
-INNER_STEP = 16  # a sentence may be cut after every so many of its tokens
-SHORT_COST = 32  # of a sequence whose length is a smaller power of two
+SENTENCE_CUT, INNER_CUT = 1, 4  # in tokens of padding; the end of a document costs nothing
+INNER_STEP = 8  # a sentence may be cut after every so many of its tokens
+SHORT_COST = 16  # of a sequence whose length is a smaller power of two
 RUN_TOKENS = 1 << 18
-CACHE_WORDS = 300_000
 END = b"\0\0\0\0"  # id 0 ends a document
 
 
-class _Unsafe(Exception):
-    """White space that must be split with what surrounds it."""
-
-
-class _Words(dict):
-    """Ids, as bytes, of a word with the space before it."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace():
-            raise _Unsafe
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[word] = np.array(self.encode(" " + word), np.uint32).tobytes()
-        return ids
-
-
 class Encoder:
-    """Byte-level BPE ids from a rank file; a word's ids are found once.
-
-    A space before a visible character always starts a new piece of the
-    splitting pattern, so a text can be encoded word by word there.
-    """
+    """Byte-level BPE ids from a rank file; strings of special tokens are ordinary text."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -60,7 +36,6 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._words = _Words(self._encode)
         size = max(ranks.values()) + 1
         self.ends, self.breaks, self.spaced = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, bool)
         for piece, rank in ranks.items():
@@ -69,12 +44,7 @@ class Encoder:
             self.spaced[rank] = piece[:1] in (b" ", b"\n")
 
     def __call__(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        try:
-            words = self._words
-            return np.array(self._encode(head), np.uint32).tobytes() + b"".join([words[w] for w in rest])
-        except _Unsafe:
-            return np.array(self._encode(text), np.uint32).tobytes()
+        return np.array(self._encode(text), np.uint32).tobytes()
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Places after a full stop that white space follows, and after line breaks."""
