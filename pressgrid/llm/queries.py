@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
+from pressgrid.llm.secrets import BASE, REACH, WEAK, find_secrets, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +72,42 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
         with_ids=False)
+
+
+def quoted(pattern: str) -> str:
+    """A pattern as an SQL string; a run's start needs no look-behind when matching is leftmost."""
+    return "'" + re.sub(r"\(\?<![^)]*\)", "", pattern).replace("'", "''") + "'"
+
+
+def _secret_sql() -> str:
+    rules = BASE + WEAK
+    found = "\n  UNION ALL ".join(rf"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, unnest(m) AS hit, generate_subscripts(m, 1) AS i, m, g FROM (
+    SELECT doc_id, regexp_extract_all(t, {quoted(p)}) AS m, string_split_regex(t, {quoted(p)}) AS g FROM doc)""" for rank, (kind, p, _, _) in enumerate(rules))
+    enough = " ".join(f"WHEN '{kind}' THEN length(" + (f"regexp_extract(hit, {quoted(p)}, {g})" if g else "hit") + f") >= {n}" for kind, p, g, n in rules)
+    return rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({found}),
+placed AS (
+  SELECT doc_id, rank, kind, hit, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM hits WHERE CASE kind {enough} END
+    AND (kind <> 'key' OR (regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[0-9]')))),
+part AS (
+  SELECT *, s + length(hit) AS e, CASE WHEN kind IN ('access', 'user') THEN 'identifier' WHEN kind = 'address' THEN 'endpoint' ELSE 'secret' END AS role FROM placed),
+kept AS (
+  SELECT * FROM part AS p WHERE rank < 3
+    OR (kind IN ('user', 'address') AND EXISTS (SELECT 1 FROM part AS q WHERE q.doc_id = p.doc_id AND q.role = 'secret' AND q.s <= p.e + {REACH} AND q.e >= p.s - {REACH})
+        AND (kind = 'user' OR EXISTS (SELECT 1 FROM part AS q WHERE q.doc_id = p.doc_id AND q.role = 'identifier' AND q.s <= p.e + {REACH} AND q.e >= p.s - {REACH})))
+    OR (kind = 'key' AND EXISTS (SELECT 1 FROM part AS q WHERE q.doc_id = p.doc_id AND q.role = 'identifier' AND q.s <= p.e + {REACH} AND q.e >= p.s - {REACH}))),
+listed AS (SELECT doc_id, rank, kind, s, kind || ':' || s || ':' || e AS span FROM kept)
+SELECT doc.doc_id, count(span) FILTER (kind = 'assign') AS n_assign, count(span) FILTER (kind = 'access') AS n_access,
+  count(span) FILTER (kind = 'hex') AS n_hex, sha256(coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY s, rank), '') AS spans
+FROM doc LEFT JOIN listed ON listed.doc_id = doc.doc_id GROUP BY doc.doc_id
+"""
+
+
+@query("op2_secret_scan", _secret_sql())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+    counts = [(F.size("base") - F.size(F.array_remove(F.col("base")["kind"], k))).cast("long").alias(f"n_{k}") for k, *_ in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
