@@ -12,6 +12,7 @@ from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
 from pressgrid.llm.secrets import BASE, REACH, WEAK, find_secrets, listed
+from pressgrid.llm.toxicity import held_out, score_toxicity, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +112,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = find_secrets(table(spark, folder, "documents"))
     counts = [(F.size("base") - F.size(F.array_remove(F.col("base")["kind"], k))).cast("long").alias(f"n_{k}") for k, *_ in BASE]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = train(docs, table(spark, folder, "labels").filter(~held_out()))
+    return score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "score", F.col("rejected").cast("int").alias("predicted"))
