@@ -8,6 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressgrid.llm.forest import near_vectors
 from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
@@ -120,3 +121,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     model = train(docs, table(spark, folder, "labels").filter(~held_out()))
     return score_toxicity(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), "score", F.col("rejected").cast("int").alias("predicted"))
+
+
+@query("op5_embedding_near_dedup", r"""
+WITH RECURSIVE valid AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM valid AS x JOIN valid AS y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = root.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM root
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
