@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgrid.llm.forest import near_vectors
+from pressgrid.llm.hilbert import nearest_vectors
 from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
@@ -135,3 +136,8 @@ SELECT vec_id, (SELECT count(*) FROM link WHERE a = root.vec_id) AS n_links, com
 """)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op10_hilbert_neighbours")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_vectors(table(spark, folder, "embeddings"))

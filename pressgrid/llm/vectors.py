@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def packed_vectors(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key long, dim int, vec binary of doubles) for rows with a key and a usable vector.
+    """(key long, dim int, vec binary of doubles, norm double) for rows with a key and a usable vector.
 
     A vector is usable if it is not null or empty, has no null and no non-finite
     component and is not zero. Other columns are dropped, rows are not.
@@ -30,10 +30,11 @@ def packed_vectors(df: DataFrame, key: str, value: str) -> DataFrame:
             keep = np.flatnonzero(good)
             yield pa.record_batch([
                 batch.column("key").take(pa.array(keep)), pa.array((end - start)[keep].astype(np.int32)),
-                pa.array([flat[a:b].tobytes() for a, b in zip(start[keep], end[keep], strict=True)], pa.binary())],
-                ["key", "dim", "vec"])
+                pa.array([flat[a:b].tobytes() for a, b in zip(start[keep], end[keep], strict=True)], pa.binary()),
+                pa.array([float(np.linalg.norm(flat[a:b])) for a, b in zip(start[keep], end[keep], strict=True)], pa.float64())],
+                ["key", "dim", "vec", "norm"])
 
-    return rows.mapInArrow(run, "key long, dim int, vec binary")
+    return rows.mapInArrow(run, "key long, dim int, vec binary, norm double")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
