@@ -14,6 +14,7 @@ from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
 from pressgrid.llm.secrets import BASE, REACH, WEAK, find_secrets, listed
+from pressgrid.llm.sharding import shard_rows
 from pressgrid.llm.toxicity import held_out, score_toxicity, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +142,23 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_hilbert_neighbours")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors(table(spark, folder, "embeddings"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query("op1_extendible_sharding", f"""
+WITH doc AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS row_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS bits FROM documents),
+deep AS (SELECT *, unnest(range(0, 61)) AS depth FROM doc),
+fits AS (
+  SELECT depth, bits >> (60 - depth) AS prefix FROM deep GROUP BY ALL HAVING sum(row_bytes) <= {SHARD_BYTES} OR count(*) = 1),
+shallow AS (
+  SELECT deep.doc_id, row_bytes, bits, min(deep.depth) AS depth FROM deep JOIN fits ON fits.depth = deep.depth AND prefix = bits >> (60 - deep.depth)
+  GROUP BY deep.doc_id, row_bytes, bits)
+SELECT doc_id, lpad(CASE WHEN depth = 0 THEN '' ELSE bin(bits >> (60 - depth)) END, CAST(depth AS INT), '0') AS shard,
+  CAST(depth AS INT) AS depth, CAST(row_bytes AS BIGINT) AS row_bytes FROM shallow
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_rows(table(spark, folder, "documents"), SHARD_BYTES).select("doc_id", "shard", "depth", "row_bytes")
