@@ -2,16 +2,20 @@
 
 The documents-by-n-grams incidence matrix is never multiplied as a whole. Two
 sets with Jaccard >= t share one of the first n - ceil(t n) + 1 n-grams of each
-in any common order; documents that meet there form candidate clusters, and
-inside a cluster blocks of rows are multiplied, overlaps are added up, and
-pairs under the overlap their sizes demand are dropped. The common order puts
-n-grams that very many documents share last, so a widespread passage joins
-nobody who isn't alike otherwise.
+in any common order. The order taken here puts n-grams of one set only first and
+widespread ones last, so a document whose start holds nothing but own n-grams
+meets nobody. Documents that do meet form candidate clusters; inside a cluster
+blocks of rows are multiplied, overlaps are added up, and pairs under the overlap
+their sizes demand are dropped.
+
+How many sets hold an n-gram is counted where the hash is below COUNTED of its
+range; the others follow in the order. That fixes one order for all documents.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +26,15 @@ from pressgrid.llm.buffers import mixed, packed, slices, word_hashes
 from pressgrid.llm.components import components
 from pressgrid.session import settle
 
-HOT_COUNT = 500  # n-grams in at least so many prefixes go last in the order
+COUNTED = 0.35  # share of the hash range in which holders are counted
+HOT_COUNT = 1000  # n-grams in at least so many sets come last
 HOT_LIMIT = 100_000  # of those the most frequent; any choice gives the same links
 LOCAL_LEAST = 8  # a task reports n-grams it has met so often
-BUCKET_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 21
 TILE_TOKENS = 1 << 20
 ROW_BLOCK, COLUMN_BLOCK, DENSE_FROM = 1024, 4096, 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_LIMIT = np.uint64(int(COUNTED * 2**64))
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -58,83 +64,164 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.sum(mixed(grams ^ _STEP, k), dtype=np.uint64).astype(np.int64)) for k in (0, 1))
 
 
-def prefix(grams: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The n-grams by which a set is found: the first n - ceil(t n) + 1, frequent ones last."""
-    n = len(grams)
-    length = n - -(-percent * n // 100) + 1
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-        late = hot[at] == grams
-        grams = np.concatenate((grams[~late], grams[late]))
-    return grams[:length]
+def start_length(n: int, percent: int) -> int:
+    """How many of its first n-grams a set must be found by."""
+    return n - -(-percent * n // 100) + 1
+
+
+def counted(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams that can be in the start: those that are counted, or as many as the start is long."""
+    return grams[: max(int(np.searchsorted(grams, _LIMIT)), start_length(len(grams), percent))]
 
 
 def _survey(width: int, percent: int):
-    """Per document (doc_id, n, s1, s2); per task the prefix n-grams it met often (token, times)."""
+    """Per document (doc_id, n, s1, s2); per task the counted n-grams it met often (token, times)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = []
+        seen, waiting = [], 0
         for batch in (p for b in batches for p in slices(b)):
             rows = []
             for doc, grams in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
                 rows.append((doc, len(grams), *signature(grams)))
-                seen.append(prefix(grams, np.zeros(0, np.uint64), percent) if len(grams) else grams)
+                seen.append(counted(grams, percent) if len(grams) else grams)
+                waiting += len(seen[-1])
             ids, n, s1, s2 = zip(*rows, strict=True)
             none = pa.nulls(len(rows), pa.int64())
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (ids, n, s1, s2)] + [none, none], _SURVEY)
+            if waiting >= BUCKET_TOKENS:
+                yield _often(seen)
+                seen, waiting = [], 0
         if seen:
-            token, times = np.unique(np.concatenate(seen), return_counts=True)
-            often = times >= LOCAL_LEAST
-            token, times = token[often].view(np.int64), times[often]
-            none = pa.nulls(len(token), pa.int64())
-            yield pa.record_batch([none] * 4 + [pa.array(token), pa.array(times.astype(np.int64))], _SURVEY)
+            yield _often(seen)
     return run
 
 
+def _often(seen: list[np.ndarray]) -> pa.RecordBatch:
+    token, times = np.unique(np.concatenate(seen), return_counts=True)
+    often = times >= LOCAL_LEAST
+    token, times = token[often].view(np.int64), times[often]
+    none = pa.nulls(len(token), pa.int64())
+    return pa.record_batch([none] * 4 + [pa.array(token), pa.array(times.astype(np.int64))], _SURVEY)
+
+
 _SURVEY = ["doc_id", "n", "s1", "s2", "token", "times"]
 
 
-def _meetings(width: int, percent: int, hot: np.ndarray, buckets: int):
-    """Prefix n-grams by bucket, packed; n-grams that repeat within a batch become links at once and go on once."""
+def _split(hot: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(hot) or not len(grams):
+        return grams, grams[:0]
+    late = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+    return grams[~late], grams[late]
+
+
+_HOLDERS = "bucket long, tokens binary, sets binary, own binary"
+
+
+def _holders(width: int, percent: int, hot: np.ndarray, buckets: int):
+    """Counted n-grams with their set's signature, packed by bucket.
+
+    `own` rows go along: (signature, rare n-grams sent, start length, widespread
+    n-grams of the start).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in slices(b, limit=8 << 20)):
-            docs, tokens = [], []
-            for doc, grams in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
-                if doc is not None and len(grams):
-                    tokens.append(prefix(grams, hot, percent))
-                    docs.append(np.full(len(tokens[-1]), doc, np.int64))
+            tokens, sets, own = {}, {}, []
+            for part in slices(batch):
+                for grams in shingle_sets(part.column("text"), width):
+                    if not len(grams) or (mark := signature(grams)[0]) in tokens:
+                        continue
+                    rare, late = _split(hot, counted(grams, percent))
+                    length = start_length(len(grams), percent)
+                    tokens[mark] = rare
+                    sets[mark] = np.full(len(rare), mark, np.int64)
+                    own.append((mark, len(rare), length, packed(late[: max(0, length - len(rare))])))
             if not tokens:
                 continue
-            token, doc, a, b = met(np.concatenate(tokens), np.concatenate(docs))
-            home = (mixed(token, 1) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            home, token, doc = home[order], token[order], doc[order]
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(home)) + 1, [len(home)]))
-            links = [(a, b)] + [(a[:0], b[:0])] * (len(cut) - 2)
-            yield pa.record_batch([
-                pa.array(home[cut[:-1]]),
-                *[pa.array([packed(v[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for v in (token, doc)],
-                *[pa.array([packed(v[k]) for v in links], pa.binary()) for k in (0, 1)],
-            ], ["bucket", "tokens", "docs", "a", "b"])
+            yield _dealt(np.concatenate(list(tokens.values())), np.concatenate(list(sets.values())), buckets, pickle.dumps(own))
+    return run
+
+
+def _dealt(token: np.ndarray, mark: np.ndarray, buckets: int, own: bytes) -> pa.RecordBatch:
+    home = (mixed(token, 1) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(home[order])) + 1, [len(home)]))
+    bounds = list(zip(cut[:-1], cut[1:], strict=True)) if len(home) else [(0, 0)]
+    buckets_ = home[order][cut[:-1]] if len(home) else np.zeros(1, np.int64)
+    return pa.record_batch([
+        pa.array(buckets_), *[pa.array([packed(v[order[a:b]]) for a, b in bounds], pa.binary()) for v in (token, mark)],
+        pa.array([own] + [None] * (len(bounds) - 1), pa.binary())], ["bucket", "tokens", "sets", "own"])
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("tokens", np.uint64), ("sets", np.int64)))
+
+
+_SHARED = "mark long, rare int, length int, late binary, tokens binary, classes binary"
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """The `own` rows, and for each set its n-grams that other sets hold too, with the size class of their holders."""
+    token, mark = _arrays(table)
+    order = np.lexsort((mark, token))
+    token, mark = token[order], mark[order]
+    if len(token):
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (mark[1:] != mark[:-1])))
+        token, mark = token[new], mark[new]
+    head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+    holders = np.diff(np.concatenate((head, [len(token)])))
+    times = np.repeat(holders, holders)
+    token, mark, times = token[times > 1], mark[times > 1], times[times > 1]
+    order = np.argsort(mark, kind="stable")
+    token, mark = token[order], mark[order]
+    classes = np.log2(times[order]).astype(np.uint8)
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(mark)) + 1, [len(mark)])) if len(mark) else np.zeros(1, np.int64)
+    own = [x for blob in table.column("own").to_pylist() if blob for x in pickle.loads(blob)]
+    n, m = len(own), len(cut) - 1
+    first, rare, length, late = zip(*own, strict=True) if own else ((), (), (), ())
+    return pa.table({
+        "mark": pa.array([*first, *mark[cut[:-1]].tolist()], pa.int64()),
+        "rare": pa.array([*rare, *[None] * m], pa.int32()), "length": pa.array([*length, *[None] * m], pa.int32()),
+        "late": pa.array([*late, *[None] * m], pa.binary()),
+        "tokens": pa.array([*[None] * n, *[packed(token[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]], pa.binary()),
+        "classes": pa.array([*[None] * n, *[packed(classes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]], pa.binary())})
+
+
+def _starts(buckets: int):
+    """What of each set's start other sets may hold; n-grams that repeat within a batch become links and go on once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, marks = [], []
+            for mark, rare, length, late, shared, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                token = np.frombuffer(b"".join(shared), np.uint64)
+                kind = np.frombuffer(b"".join(classes), np.uint8)
+                order = np.lexsort((token, kind, token >= _LIMIT))
+                if rare > length:  # the start lies among the counted ones; n-grams of this set only come first
+                    order = order[: max(0, length - (rare - len(token)))]
+                token = np.concatenate((token[order], np.frombuffer(late, np.uint64)))
+                tokens.append(token)
+                marks.append(np.full(len(token), mark, np.int64))
+            if tokens and sum(map(len, tokens)):
+                token, mark, a, b = met(np.concatenate(tokens), np.concatenate(marks))
+                yield _dealt(token, mark, buckets, pickle.dumps((a, b)))
     return run
 
 
-def met(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One entry per n-gram with its smallest document, and a link from each other document to that one."""
-    order = np.lexsort((doc, token))
-    token, doc = token[order], doc[order]
+def met(token: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per n-gram with its smallest set, and a link from each other set to that one."""
+    if not len(token):
+        return token, mark, mark, mark
+    order = np.lexsort((mark, token))
+    token, mark = token[order], mark[order]
     head = np.concatenate(([True], token[1:] != token[:-1]))
-    low = doc[head][np.cumsum(head) - 1]
-    other = doc != low
-    pairs = np.unique(np.stack((doc[other], low[other])), axis=1)
-    return token[head], doc[head], pairs[0], pairs[1]
+    low = mark[head][np.cumsum(head) - 1]
+    other = mark != low
+    pairs = np.unique(np.stack((mark[other], low[other])), axis=1)
+    return token[head], mark[head], pairs[0], pairs[1]
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    token, doc, a, b = (
-        np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        for c, kind in (("tokens", np.uint64), ("docs", np.int64), ("a", np.int64), ("b", np.int64)))
-    _, _, more_a, more_b = met(token, doc)
-    return pa.table({"a": np.concatenate((a, more_a)), "b": np.concatenate((b, more_b))})
+    *_, a, b = met(*_arrays(table))
+    links = [pickle.loads(x) for x in table.column("own").to_pylist() if x]
+    return pa.table({"a": np.concatenate([a, *(x for x, _ in links)]), "b": np.concatenate([b, *(x for _, x in links)])})
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -272,7 +359,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     )
     hot = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64))
     words = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
-    buckets = max(1, math.ceil(words * (100 - percent) / 100 / BUCKET_TOKENS) * 4)
+    buckets = max(1, math.ceil(words * COUNTED / BUCKET_TOKENS))
 
     same = (
         sets.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
@@ -280,13 +367,16 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     )
     copies = sets.filter("n > 0").join(same.filter("rep <> most"), ["n", "s1", "s2"]).select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    met_by = docs.mapInArrow(
-        _meetings(width, percent, hot, buckets), "bucket long, tokens binary, docs binary, a binary, b binary")
-    near = components(met_by.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
-    reps = settle(
-        same.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
-        .join(near.toDF("doc_id", "comp"), "doc_id")
+    shared = docs.mapInArrow(_holders(width, percent, hot, buckets), _HOLDERS).groupBy("bucket").applyInArrow(_shared, _SHARED)
+    starts = (
+        shared.groupBy("mark").agg(
+            F.max("rare").alias("rare"), F.max("length").alias("length"), F.max("late").alias("late"),
+            F.collect_list("tokens").alias("tokens"), F.collect_list("classes").alias("classes"))
+        # n-grams of this set only fill the start: it meets nobody
+        .filter(F.col("length") > F.col("rare") - F.aggregate("classes", F.lit(0), lambda n, c: n + F.octet_length(c)))
     )
+    near = components(starts.mapInArrow(_starts(buckets), _HOLDERS).groupBy("bucket").applyInArrow(_meet, "a long, b long"))
+    reps = settle(same.select(F.col("rep").alias("doc_id"), "n", "s1", "s2").join(near.toDF("s1", "comp"), "s1"))
     asked = tiles(reps, percent).withColumnRenamed("doc_id", "_doc")
     rows = asked.join(docs, F.col("_doc") == F.col("doc_id")).select("doc_id", "text", "s1", "s2", "comp", "tiles")
     pairs = (
