@@ -13,6 +13,7 @@ from pressgrid.llm.hilbert import nearest_vectors
 from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
+from pressgrid.llm.pieces import decode_pieces, encode_pieces, same_text
 from pressgrid.llm.secrets import BASE, REACH, WEAK, find_secrets, listed
 from pressgrid.llm.sharding import shard_rows
 from pressgrid.llm.toxicity import held_out, score_toxicity, train
@@ -162,3 +163,10 @@ SELECT doc_id, lpad(CASE WHEN depth = 0 THEN '' ELSE bin(bits >> (60 - depth)) E
 """)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return shard_rows(table(spark, folder, "documents"), SHARD_BYTES).select("doc_id", "shard", "depth", "row_bytes")
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), model), model)
+    return decoded.select("doc_id", "n_ids", "ids_crc32", same_text().alias("round_trip"))
