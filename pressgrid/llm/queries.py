@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgrid.llm.forest import near_vectors
 from pressgrid.llm.hilbert import nearest_vectors
+from pressgrid.llm.language import count_grams, page_languages
 from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
@@ -170,3 +171,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     decoded = decode_pieces(encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), model), model)
     return decoded.select("doc_id", "n_ids", "ids_crc32", same_text().alias("round_trip"))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    names, shares = count_grams(table(spark, folder, "documents"))
+    return page_languages(table(spark, folder, "pages"), names, shares)
