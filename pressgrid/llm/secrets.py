@@ -120,10 +120,10 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     All columns and rows stay; a text without findings, null included, stays as it is.
     """
     spans = find_secrets(docs).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).select(
-        F.col("doc_id").alias("_doc"), "text_key", F.col("spans").alias("_spans"))
+        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"))
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = docs.withColumn("_key", key).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("text_key")), "left")
+        spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text_key")), "left")
 
     def step(state, s):
         new = F.struct(

@@ -29,14 +29,14 @@ def _cell(depth: int) -> Column:
     return F.shiftright("_bits", BITS - depth)
 
 
-def _directory(cells: DataFrame, limit: int, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+def _directory(cells: DataFrame, limit: int, low: int, high: int, within: list[str]) -> tuple[DataFrame, DataFrame]:
     """From (cell of `high` bits, bytes, rows): (cell, depth) with the shallowest prefix that fits, and cells that have none."""
     prefixes = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn(
         "prefix", F.expr(f"shiftright(cell, {high} - depth)"))
-    fits = prefixes.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).filter(
+    fits = prefixes.groupBy(*within, "depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).filter(
         (F.col("bytes") <= limit) | (F.col("rows") == 1))
-    known = settle(prefixes.join(fits, ["depth", "prefix"], "left_semi").groupBy("cell").agg(F.min("depth").alias("depth")))
-    return known, settle(cells.join(known, "cell", "left_anti").select("cell"))
+    known = settle(prefixes.join(fits, [*within, "depth", "prefix"], "left_semi").groupBy(*within, "cell").agg(F.min("depth").alias("depth")))
+    return known, settle(cells.join(known, [*within, "cell"], "left_anti").select(*within, "cell"))
 
 
 def shard_rows(rows: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,7 +60,7 @@ def shard_rows(rows: DataFrame, limit: int, key: str = "doc_id", text: str = "te
     heavy = number_rows(marked.join(full, "_bits", "left_semi"), F.col("_bits"), F.xxhash64(*rows.columns), name="_number")
     above = heavy.withColumn("_above", F.lpad(F.bin("_bits"), BITS, "0")).withColumn(
         "_bits", hash_bits(F.concat_ws(":", F.col("_bits"), F.col("_number"))))
-    dealt, _ = _placed(above, limit)
+    dealt, _ = _placed(above, limit, "_above")
     return result.unionByName(dealt.select(
         *rows.columns, F.concat_ws(".", "_above", _bits_text()).alias("shard"), (F.col("depth") + BITS).alias("depth"), "row_bytes"))
 
@@ -69,19 +69,23 @@ def _bits_text() -> Column:
     return F.expr(f"lpad(bin(shiftright(_bits, {BITS} - depth)), depth, '0')")
 
 
-def _placed(marked: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows with the depth of their shard, and the hashes whose rows are too many for any depth (their rows are left out)."""
-    sized = marked.groupBy("_bits").agg(F.sum("row_bytes").alias("bytes"), F.count("*").alias("rows"))
+def _placed(marked: DataFrame, limit: int, *keys: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with the depth of their shard, and the hashes whose rows are too many for any depth (their rows are left out).
+
+    `keys` (if any) has a directory for each of its values.
+    """
+    within = list(keys)
+    sized = marked.groupBy(*within, "_bits").agg(F.sum("row_bytes").alias("bytes"), F.count("*").alias("rows"))
     total = sized.agg(F.sum("bytes").alias("b")).first()["b"] or 0
     low, high = 0, min(BITS, MARGIN + max(0, math.ceil(math.log2(max(1, total / limit)))))
     out, open_ = None, None
     while True:
         scope = sized
         if open_ is not None:  # only what is still too large gets more bits
-            scope = scope.withColumn("cell", _cell(low - 1)).join(open_, "cell", "left_semi")
-        cells = scope.groupBy(_cell(high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-        known, open_ = _directory(cells, limit, low, high)
-        part = marked.withColumn("cell", _cell(high)).join(known, "cell").drop("cell")
+            scope = scope.withColumn("cell", _cell(low - 1)).join(open_, [*within, "cell"], "left_semi")
+        cells = scope.groupBy(*within, _cell(high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+        known, open_ = _directory(cells, limit, low, high, within)
+        part = marked.withColumn("_cell", _cell(high)).join(known.withColumnRenamed("cell", "_cell"), [*within, "_cell"]).drop("_cell")
         out = part if out is None else out.unionByName(part)
         if open_.isEmpty():
             return out, None
