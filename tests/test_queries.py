@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pressgrid.checks.registry import ORACLES, QUERIES
 from pressgrid.checks.views import TABLES
 from pressgrid.operators import dictionary, lookup
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
