@@ -9,7 +9,6 @@ from pressgrid.checks.views import view
 from pressgrid.operators import quality, queue, views
 from pressgrid.operators.ordering import batches
 from pressgrid.schemas import REQUIRED_FIELDS, conform
-from pressgrid.sources.tables import schema_report
 
 NOW = "(SELECT max(updated_at) FROM articles)"
 NEWEST = "ORDER BY updated_at DESC NULLS LAST, url ASC NULLS FIRST"
@@ -331,6 +330,16 @@ def _(spark, d):
     return views.page(hits.select("id", "url", "title", "updated_at"), 1)
 
 
+@check("page_after", "articles", f"""
+, ranked AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, url NULLS FIRST) AS n FROM articles)
+SELECT id, url, title, updated_at FROM ranked
+WHERE (updated_at, url) IN (SELECT (updated_at, url) FROM ranked WHERE n > 50 AND n <= 75)""", text="id updated_at")
+def _(spark, d):
+    articles = view(spark, d, "articles").select("id", "url", "title", "updated_at")
+    last = views.page_after(articles, None, 50).collect()[-1]
+    return views.page_after(articles, (last["updated_at"], last["url"]), 25)
+
+
 @check("next_pending", "queue_log", f"""{STATE}
 SELECT id, url FROM state WHERE status = 'pending' ORDER BY updated_at, id LIMIT 5""")
 def _(spark, d):
@@ -347,11 +356,3 @@ SELECT url, updated_at, (row_number() OVER (ORDER BY updated_at, url) - 1) // 10
 def _(spark, d):
     rows = view(spark, d, "articles").select("url", "updated_at")
     return batches(rows, 100, F.asc("updated_at"), F.asc("url"))
-
-
-@check("schema_report", "tracked", """
-SELECT CAST(row_number() OVER () AS BIGINT) AS ordinal, column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint'
-  WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp' ELSE column_type END AS data_type
-FROM (DESCRIBE SELECT * FROM tracked)""")
-def _(spark, d):
-    return schema_report(view(spark, d, "tracked")).drop("is_nullable")

@@ -82,7 +82,7 @@ def listed(column: str) -> str:
 def _names(spark, d, dictionary: str, name: str, text: str = "content", how: str = "auto", **attrs):
     articles, names = load(spark, d, "articles", dictionary)
     slim = articles.select("id", "url", "updated_at", text)
-    return match_names(slim, entries(names, name, **attrs), {"found": F.col(text)}, ROW, how).drop(text)
+    return match_names(slim, entries(names, name, **attrs), {"found": F.col(text)}, how).drop(text)
 
 
 def listed_only(value):
@@ -147,7 +147,7 @@ def _(spark, d):
     articles, companies = load(spark, d, "articles", "companies")
     slim = articles.select("id", "url", "updated_at", "domain", "content")
     # the join form, as for a dictionary too large to travel with the scan
-    found = match_names(slim, entries(companies, "portco_name"), {"found": F.col("content")}, ROW, "join")
+    found = match_names(slim, entries(companies, "portco_name"), {"found": F.col("content")}, "join")
     named = found.select("domain", F.explode("found").alias("f")).select("domain", F.col("f.name").alias("name"))
     return quality.distinct_concat(named, ["domain"], "name", "companies")
 

@@ -433,6 +433,8 @@ ENRICHED = f"""
     com.leads AS matched_portco_deal_lead, com.ais AS matched_portco_ai,
     CASE WHEN com.k IS NOT NULL THEN com.vehicles ELSE n.matched_vehicle END AS matched_vehicle,
     CASE WHEN f.k IS NOT NULL THEN coalesce(coalesce(com.names, n.matched_portcos) <> '', FALSE) ELSE n.tagged_portco END AS tagged_portco,
+    CASE WHEN f.k IS NOT NULL THEN coalesce(coalesce(com.names, n.matched_portcos) <> '', FALSE) AND NOT coalesce({word_sql('n.title', BRAND)}, FALSE)
+      ELSE n.unbranded_win END AS unbranded_win,
     f.in_head AS spokespeople_in_headline,
     CASE WHEN f.k IS NOT NULL THEN kp ELSE n.kill_pill END AS kill_pill,
     CASE WHEN f.k IS NOT NULL THEN kp_count ELSE n.kill_pill_count END AS kill_pill_count,
@@ -452,10 +454,10 @@ ENRICHED_COLUMNS = [
     "id", "url", "content", "title", "cleaned_url", "domain", "publish_date", "month", "language", "brand_in_headline",
     "tagged_brand", "matched_spokespeople", "matched_vc_investors", "matched_dealroom_rank", "matched_reporter",
     "matched_portcos", "matched_portco_location", "matched_portco_deal_lead", "matched_portco_ai", "matched_vehicle",
-    "tagged_portco", "spokespeople_in_headline", "kill_pill", "kill_pill_count", "kill_pill_context", "unwanted",
+    "tagged_portco", "unbranded_win", "spokespeople_in_headline", "kill_pill", "kill_pill_count", "kill_pill_context", "unwanted",
     "unwanted_count", "unwanted_context", "country", "page_rank", "tier",
 ]
-NULLABLE = ("publish_date month tagged_portco spokespeople_in_headline kill_pill kill_pill_count unwanted unwanted_count page_rank")
+NULLABLE = ("publish_date month tagged_portco unbranded_win spokespeople_in_headline kill_pill kill_pill_count unwanted unwanted_count page_rank")
 
 
 def dictionaries(spark, d) -> enrich.Dictionaries:

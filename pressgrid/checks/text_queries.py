@@ -288,7 +288,7 @@ def _(spark, d):
 @check("unbranded_win", "tracked", """
 SELECT updated_at, coalesce(matched_portcos <> '', FALSE) AND NOT coalesce(brand_in_headline, FALSE) AS unbranded_win FROM tracked""", text="updated_at")
 def _(spark, d):
-    win = F.coalesce(F.col("matched_portcos") != "", F.lit(False)) & ~F.coalesce("brand_in_headline", F.lit(False))
+    win = text.unbranded_win(F.col("matched_portcos"), F.col("brand_in_headline"))
     return view(spark, d, "tracked").select("updated_at", win.alias("unbranded_win"))
 
 

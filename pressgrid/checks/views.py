@@ -89,17 +89,18 @@ SELECT * FROM (VALUES ('the nt'), ('thing'), ('no reporter')) AS t(tagged_report
 SELECT page_id AS pos,
   CASE WHEN page_id % 3 = 0 THEN ' https://src' || CAST(page_id % 20 AS STRING) || '.example.com/' || CAST(page_id AS STRING) || '/ '
        WHEN page_id % 7 = 0 THEN 'https://www.brand.example/' || CAST(page_id AS STRING)
+       WHEN page_id % 13 = 0 THEN 'https://new.example.org/' || CAST(page_id AS STRING)
        WHEN page_id % 11 = 0 THEN '/new.example.org/x/' || CAST(page_id % 22 AS STRING)
        ELSE url END AS url
 FROM {pages}
 """,
     "queue_log": """
-SELECT CAST(event_id % 4000 AS STRING) AS id, 'https://new.example.org/' || CAST(event_id % 4000 AS STRING) AS url,
+SELECT CAST(entry AS STRING) AS id, 'https://new.example.org/' || CAST(entry AS STRING) AS url,
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'processing' ELSE 'pending' END AS status,
-  CASE WHEN event_id % 40 = 0 THEN 'test_batch' ELSE 'batch_' || CAST((event_id % 4000) % 12 AS STRING) END AS batch_name,
+  CASE WHEN event_id % 40 = 0 THEN 'test_batch' ELSE 'batch_' || CAST(entry % 12 AS STRING) END AS batch_name,
   event_id AS seq, CAST(ts AS TIMESTAMP) AS updated_at,
   CASE WHEN event_type = 'error' THEN 'No content extracted' ELSE NULL END AS error_message
-FROM {events}
+FROM (SELECT *, CAST(floor(event_id / 4) AS BIGINT) AS entry FROM {events}) AS e
 """,
     "step_log": """
 SELECT event_id AS seq, 'run' || CAST(user_id AS STRING) || '-abcdefgh' AS run_id, 'https://new.example.org/' || CAST(event_id AS STRING) AS url,
@@ -112,19 +113,19 @@ FROM {events}
 SELECT conv_id, turn,
   CASE WHEN conv_id % 9 = 0 THEN 'https://news.example.org/' ELSE 'https://x.com/u/' END || CAST(conv_id * 100 + turn AS STRING) AS url,
   CASE WHEN turn % 4 = 3 THEN 'moose seen' WHEN turn % 4 = 2 THEN 'plain words' ELSE 'founder raises seed' END AS title,
-  'see https://' || CASE WHEN turn % 2 = 0 THEN 'www.' ELSE '' END || 'src' || CAST(((conv_id * 31) % 200) % 20 AS STRING) || '.example.com/'
-    || CAST((conv_id * 31) % 200 AS STRING) || CASE WHEN conv_id % 6 = 0 THEN '/more' ELSE '?s=1' END || ' and https://t.co/abc' AS summary,
+  CASE WHEN turn % 2 = 0 THEN '' ELSE role || ': ' || text END || ' see https://' || CASE WHEN turn % 2 = 0 THEN 'www.' ELSE '' END || 'src'
+    || CAST((conv_id * 3 + turn) % 20 AS STRING) || '.example.com/' || CAST(conv_id * 3 + turn AS STRING) || CASE WHEN conv_id % 6 = 0 THEN '/more' ELSE '?s=1' END || ' and https://t.co/abc' AS summary,
   CASE WHEN conv_id % 15 = 0 THEN 'Thble Team' ELSE 'user' || CAST(conv_id AS STRING) END AS author_name,
   'https://x.com/user' || CAST(conv_id AS STRING) AS author_url
 FROM {conversations}
 """,
     # candidate bodies for known articles, one per id
     "bodies": """
-SELECT doc_id AS id, 'Body ' || substr(text, 1, 300) AS content,
+SELECT doc_id AS id, 'Body ' || text AS content,
   CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'New title ' || CAST(doc_id AS STRING) END AS title,
   CASE WHEN doc_id % 5 = 0 THEN 'NA' ELSE '2024-05-' || CAST(10 + doc_id % 20 AS STRING) END AS publish_date,
   'src' || CAST(doc_id % 3 AS STRING) || '.example.com' AS domain
-FROM {documents} WHERE doc_id % 2 = 0
+FROM {documents}
 """,
 }
 

@@ -9,7 +9,6 @@ from pressgrid.functions.dates import parse_date
 from pressgrid.functions.text import key_snippet, truncate_text
 from pressgrid.functions.urls import domain_from_url, strip
 
-CONTENT_LIMIT = 50_000
 PARAGRAPH_MIN = 20
 BODY_MIN = 100
 
@@ -80,11 +79,13 @@ def page_body(html: Column) -> Column:
     return let(let(source, joined), lambda body: F.when(F.length(body) >= BODY_MIN, body))
 
 
-def extract_pages(pages: DataFrame, mode: str, as_of: Column, words: list[str] | None = None) -> DataFrame:
+def extract_pages(
+    pages: DataFrame, mode: str, as_of: Column, words: list[str] | None = None, limit: int | None = None,
+) -> DataFrame:
     """page_id, url, domain, title, publish_date, content at one of three depths.
 
     'metadata' never touches the body, 'light' keeps key sentences around `words`,
-    'full' keeps the whole body up to the storage cap.
+    'full' keeps the whole body, or its first `limit` characters with a mark.
     """
     html, title, body = F.col("html"), F.col("_title"), F.col("_body")
     found = pages.select(
@@ -97,7 +98,7 @@ def extract_pages(pages: DataFrame, mode: str, as_of: Column, words: list[str] |
         content = F.col("_snippet")
         title = F.coalesce(title, _lead(content))
     elif mode == "full":
-        content = truncate_text(body, CONTENT_LIMIT)
+        content = body if limit is None else truncate_text(body, limit)
         title = F.coalesce(title, F.get(F.split(body, "\n"), F.lit(0)))
     else:
         raise ValueError(f"mode must be 'metadata', 'light' or 'full', not {mode!r}")

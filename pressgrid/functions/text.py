@@ -198,3 +198,8 @@ def yes_no(c: Column) -> Column:
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
+
+
+def unbranded_win(companies: Column, brand_in_headline: Column) -> Column:
+    """A portfolio company is named and the brand is not in the headline."""
+    return F.coalesce(companies != "", F.lit(False)) & ~F.coalesce(brand_in_headline, F.lit(False))

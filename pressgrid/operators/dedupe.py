@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pressgrid.operators.lookup import lookup
 from pressgrid.operators.ordering import rank_within
+from pressgrid.session import settle
 
 # The columns whose presence makes a row more complete.
 SCORED = [
@@ -30,14 +32,20 @@ def rank_duplicates(articles: DataFrame) -> DataFrame:
 def dedupe_keep_best(articles: DataFrame, as_of: Column, minutes: int = HOLD_BACK_MINUTES) -> DataFrame:
     """The best row per URL, plus every row too fresh to be removed yet.
 
-    Fresh rows come straight from the scan. The best row is found by an
-    aggregate that is combined map-side, so a URL with very many copies has
-    shrunk to one row per task before anything is shuffled.
+    Fresh rows and rows whose URL occurs once come straight from the scan: the
+    aggregate that counts URLs has no bodies. Only rows of repeated URLs are
+    compared, combined map-side, so a URL with very many copies has shrunk to
+    one row per task before it is shuffled.
     """
     cutoff = as_of - F.make_interval(mins=F.lit(minutes))
     fresh = F.coalesce(F.col("updated_at") > cutoff, F.lit(False))
     # larger is better; the smallest id wins a tie, NULL before all others
     order = F.struct(
         fill_score().alias("s"), F.col("updated_at").alias("t"), F.col("id").isNull().alias("n"), (-F.col("id")).alias("i"))
-    best = articles.groupBy(F.col("url").alias("_u")).agg(F.max_by(F.struct(*articles.columns), order).alias("_r")).select("_r.*")
+    repeated = settle(
+        articles.filter(F.col("url").isNotNull()).groupBy("url").agg(F.count("*").alias("_n")).filter("_n > 1").select("url"))
+    alone = lookup(articles, repeated, "url", "left_anti", spread=["id", "updated_at"]).filter(F.col("url").isNotNull())
+    again = lookup(articles, repeated, "url", "left_semi", spread=["id", "updated_at"]).unionByName(articles.filter(F.col("url").isNull()))
+    best = again.groupBy(F.col("url").alias("_u")).agg(F.max_by(F.struct(*articles.columns), order).alias("_r")).select("_r.*")
+    best = best.unionByName(alone.select(*best.columns))
     return best.filter(~fresh).unionByName(articles.filter(fresh))

@@ -99,8 +99,6 @@ def latest_by(df: DataFrame, key: Column, when: Column, *cols: str, key_name: st
 
 
 def first_seen(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """First row of each key by position; map-side combined."""
-    rest = [c for c in df.columns if c not in (key, pos)]
-    return (
-        df.groupBy(key).agg(F.min(F.struct(pos, *rest)).alias("_r")).select(key, "_r.*").select(*df.columns)
-    )
+    """First row of each key by position (unique). The aggregate sees key and position only; rows are then picked by both."""
+    first = df.groupBy(F.col(key).alias("_k")).agg(F.min(pos).alias("_p"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("_k")) & F.col(pos).eqNullSafe(F.col("_p")), "left_semi")

@@ -96,8 +96,20 @@ def flag_brand_headline(articles: DataFrame, brand: str) -> DataFrame:
         F.when(F.col("title") != "", mentions_brand(brand, F.col("title"))).otherwise(F.col("brand_in_headline")))
 
 
+def last_per_key(updates: DataFrame, key: str) -> DataFrame:
+    """One update per key: the last by `seq`, `pos` or `updated_at` where there are such columns, then by the other values."""
+    rest = [c for c in updates.columns if c != key]
+    order = [c for c in ("seq", "pos", "updated_at") if c in rest]
+    order += [c for c in rest if c not in order]
+    if not order:
+        return updates.select(key).filter(F.col(key).isNotNull()).distinct()
+    last = updates.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order)).alias("_u"))
+    return last.select(key, *[F.col(f"_u.{c}").alias(c) for c in rest])
+
+
 def _put(articles: DataFrame, updates: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    """Left join of one update per key; `values` use the update's columns as `new_<name>`."""
+    """Left join of the last update per key; `values` use the update's columns as `new_<name>`. No row is added."""
+    updates = last_per_key(updates, key)
     renamed = updates.select(F.col(key), *[F.col(c).alias(f"new_{c}") for c in updates.columns if c != key],
                              F.lit(True).alias("_hit"))
     spread = [c for c in ("id", "url", "updated_at") if c in articles.columns and c != key]
@@ -171,7 +183,16 @@ def delete_by_url(articles: DataFrame, urls: DataFrame) -> DataFrame:
 def count_deleted(articles: DataFrame, urls: DataFrame) -> DataFrame:
     """How many rows `delete_by_url` removes."""
     doomed = urls.select(normalize_url(F.col("url")).alias("url")).filter("url IS NOT NULL").distinct()
-    return lookup(articles.select("url"), doomed, "url", "left_semi").agg(F.count("*").alias("deleted"))
+    # copies are counted map-side, so a hot URL is one row per task
+    copies = articles.groupBy("url").agg(F.count("*").alias("n"))
+    return copies.join(doomed, "url", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("deleted"))
+
+
+def count_deleted_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How many rows `delete_by_pattern` removes."""
+    copies = articles.groupBy("url").agg(F.count("*").alias("n"))
+    left = delete_by_pattern(copies, patterns).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("left"))
+    return copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select((F.col("n") - left.scalar()).alias("deleted"))
 
 
 PATTERN_LIST = 5_000

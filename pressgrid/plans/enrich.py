@@ -61,7 +61,7 @@ def normalize_fields(rows: DataFrame, brand: str, as_of: Column, apply: Column,
 def match_fields(rows: DataFrame, names: DataFrame, apply: Column, how: str = "auto") -> DataFrame:
     """People, investors, reporters and companies named in the text; a text without any keeps its earlier values."""
     texts = {"_body": F.when(apply, F.col("content")), "_head": F.when(apply, F.col("title"))}
-    found = match_names(rows, names, texts, ROW_KEY, how)
+    found = match_names(rows, names, texts, how)
 
     def keep(kind: str, field: str, old: str) -> Column:
         return F.when(any_found("_body", kind), joined_values("_body", field, kind)).otherwise(F.col(old))
@@ -79,8 +79,10 @@ def match_fields(rows: DataFrame, names: DataFrame, apply: Column, how: str = "a
         "matched_vehicle": keep("company", "vehicle", "matched_vehicle"),
     })
     tagged = F.coalesce(F.col("matched_portcos") != "", F.lit(False))
-    return matched.withColumn(
-        "tagged_portco", F.when(apply, tagged).otherwise(F.col("tagged_portco"))).drop("_body", "_head")
+    win = text.unbranded_win(F.col("matched_portcos"), F.col("brand_in_headline"))
+    return matched.withColumns({
+        "tagged_portco": F.when(apply, tagged).otherwise(F.col("tagged_portco")),
+        "unbranded_win": F.when(apply, win).otherwise(F.col("unbranded_win"))}).drop("_body", "_head")
 
 
 def keyword_fields(rows: DataFrame, apply: Column, kill_pill: list[str], unwanted: list[str], boundary: str) -> DataFrame:

@@ -24,12 +24,16 @@ def intake_rows(
     order; one sort serves both.
     """
     fresh = new_rows_only(export, articles)
-    # page fields are extracted before the join, so page sources are never shuffled
-    fields = extract_pages(pages, "light", as_of, [brand])
-    fields = fields.groupBy("url").agg(F.min_by(
-        F.struct(F.col("title").alias("page_title"), F.col("publish_date").alias("page_date"),
-                 F.col("domain").alias("page_domain"), F.col("content").alias("page_content")), "page_id").alias("_p"))
-    joined = salted_join(fresh, fields.select("url", "_p.*"), "url")
+    fresh = settle(fresh)
+    # which pages are needed follows from narrow columns; only those are parsed
+    needed = settle(
+        lookup(pages.select("url", "page_id"), fresh.select("url").filter("url IS NOT NULL").distinct(), "url", "left_semi")
+        .groupBy("url").agg(F.min("page_id").alias("page_id")))
+    picked = lookup(pages, needed.withColumnRenamed("url", "_url"), "page_id", "inner", spread=["url"]).filter(F.col("url") == F.col("_url"))
+    fields = extract_pages(picked.drop("_url"), "light", as_of, [brand]).dropDuplicates(["url"]).select(
+        "url", F.col("title").alias("page_title"), F.col("publish_date").alias("page_date"),
+        F.col("domain").alias("page_domain"), F.col("content").alias("page_content"))
+    joined = salted_join(fresh, fields, "url")
     top = articles.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     numbered = number_rows(joined, F.col("pos"), name="_n", start=0)
     built = ingest_row_build(numbered.withColumn("id", F.col("_n")), brand, as_of)

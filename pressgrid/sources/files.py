@@ -31,13 +31,13 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None, multi_line: bool = True,
+    spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None, multi_line: bool = False,
     required: str | None = "url",
 ) -> DataFrame:
     """An export as `pos` plus the fields of `headers`; absent columns are NULL.
 
-    `pos` grows in input order. With multi_line=False (no line breaks inside
-    cells) big files are split over many tasks.
+    `pos` grows in input order. Big files are split over many tasks; with
+    multi_line=True cells may hold line breaks, and each file is one task.
     """
     raw = (
         spark.read.option("header", True).option("sep", sniff_separator(spark, path)).option("quote", '"')
@@ -64,8 +64,8 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("url")).filter(F.length("url") > 0)
 
 
-def read_mention_feed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """The items of feed documents, author flattened."""
+def read_mention_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The items of feed documents, one document a line (or a file, with multi_line=True), author flattened."""
     feed = spark.read.schema(MENTION_FEED).option("multiLine", multi_line).json(path)
     item = feed.select(F.explode("items").alias("i"))
     return item.select(

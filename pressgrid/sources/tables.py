@@ -1,4 +1,4 @@
-"""Stored tables: read-or-empty, create, append, partition swap, schema report."""
+"""Stored tables: read-or-empty, create, append, partition swap."""
 
 from __future__ import annotations
 
@@ -41,10 +41,3 @@ def swap_months(rows: DataFrame, path: str) -> None:
 
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
-
-
-def schema_report(df: DataFrame, find: str = "") -> DataFrame:
-    """Column name, type and nullability in order; `find` keeps names holding the text."""
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields, 1)
-            if find.lower() in f.name.lower()]
-    return df.sparkSession.createDataFrame(rows, "ordinal long, column_name string, data_type string, is_nullable boolean")

@@ -35,9 +35,11 @@ def _per_batch(
     def store(batch: DataFrame, batch_id: int) -> None:
         if reuse:  # `work` reads the batch more than once
             batch = batch.persist()
-        work(batch, batch_id).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
-        if reuse:
-            batch.unpersist()
+        try:
+            work(batch, batch_id).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        finally:
+            if reuse:
+                batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{out}/state")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -101,6 +103,25 @@ def settled_query(rows: DataFrame, out: str, ts: str = "updated_at", delay: str
     return _per_batch(flat, out, lambda batch, _: batch, "append", trigger)
 
 
+def late_query(rows: DataFrame, out: str, ts: str = "updated_at", delay: str = "90 minutes", trigger: dict | None = None) -> StreamingQuery:
+    """Rows that `settled_query` no longer counts, kept as a table to be retried.
+
+    A row is late when it is older, by more than `delay`, than the newest row of
+    the batches before. Each batch leaves its newest time beside its rows, so a
+    repeated batch decides alike.
+    """
+    spark = rows.sparkSession
+
+    def work(batch: DataFrame, batch_id: int) -> DataFrame:
+        batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{out}/newest/batch_id={batch_id}")
+        newest = spark.read.parquet(f"{out}/newest").filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        if newest is None:
+            return batch.limit(0)
+        return batch.filter(F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {delay}"))
+
+    return _per_batch(rows, out, work, trigger=trigger, reuse=True)
+
+
 def activity_query(
     events: DataFrame, out: str, kind: str, width: str = "1 hour", slide: str | None = None, ts: str = "ts",
     delay: str = "2 hours", trigger: dict | None = None,

@@ -129,17 +129,53 @@ def test_dictionary_forms_agree_with_brute_force(spark, monkeypatch):
         want.append((i, ", ".join(hit) or None))
     for how, limit in (("inline", 10), ("join", 10), ("join", 0)):
         monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit * 1000)
-        got = match_names(texts, entries(names, "name"), {"f": F.col("t")}, ["i"], how)
+        got = match_names(texts, entries(names, "name"), {"f": F.col("t")}, how)
         assert sorted(rows(got.select("i", joined_values("f", "name").alias("o")))) == want, how
 
 
 def test_dictionary_join_keeps_duplicate_and_null_keys(spark):
     texts = spark.createDataFrame([(1, "acme"), (None, "acme labs"), (2, None)], "i int, t string")
     names = spark.createDataFrame([("acme",), ("labs",)], "name string")
-    got = match_names(texts, entries(names, "name"), {"f": F.col("t")}, ["i"], "join")
+    got = match_names(texts, entries(names, "name"), {"f": F.col("t")}, "join")
     assert rows(got.select("i", joined_values("f", "name"))) == [(1, "acme"), (2, None), (None, "acme, labs")]
 
 
+def test_rows_that_share_a_key_keep_their_own_matches(spark):
+    """Same url and id, other texts; and names without any a-z or 0-9."""
+    data = [(1, "https://a.org/x", "acme grows"), (1, "https://a.org/x", "nothing here"), (1, "https://a.org/x", "東日本語 text"), (2, None, "日 本"), (3, None, "&&")]
+    texts = spark.createDataFrame(data, "id int, url string, t string")
+    for names in (["acme", "日本", "&&", "labs"], ["日本", "日 本", "語"]):
+        table = spark.createDataFrame([(n,) for n in names], "name string")
+        want = sorted((i, t, ", ".join(sorted(n for n in names if n in t)) or None) for i, _, t in data)
+        for how in ("inline", "join"):
+            got = match_names(texts, entries(table, "name"), {"f": F.col("t")}, how)
+            assert sorted(map(tuple, got.select("id", "t", joined_values("f", "name")).collect())) == want, how
+
+
+def test_repeated_updates_add_no_rows(spark):
+    articles = schemas.conform(spark.createDataFrame([(1, "u1", "old"), (2, "u2", "old")], "id long, url string, content string"))
+    edits = spark.createDataFrame([(1, "a", "p", "first", 1), (1, "b", "q", "last", 2), (None, "x", "y", "z", 3)],
+                                  "id long, matched_portcos string, matched_spokespeople string, content string, seq int")
+    got = transforms._put(articles, edits, "id", {"content": F.col("new_content")})
+    assert sorted((r["id"], r["content"]) for r in got.collect()) == [(1, "last"), (2, "old")]
+
+
+def test_counts_of_deleted_rows(spark):
+    rows_ = [("https://a.org/x_1",)] * 1000 + [(None,)] * 1000 + [("https://a.org/y",), ("https://b.org/z1",)]
+    articles = spark.createDataFrame(rows_, "url string")
+    urls = spark.createDataFrame([("https://a.org/x_1",)], "url string")
+    patterns = spark.createDataFrame([("https://a.org/...",)], "url string")
+    assert transforms.count_deleted(articles, urls).first()[0] == 1000
+    assert transforms.count_deleted_by_pattern(articles, patterns).first()[0] == 1001
+
+
+def test_bodies_stay_out_of_the_duplicate_count(spark):
+    from pressgrid.operators.dedupe import dedupe_keep_best
+    table = schemas.conform(spark.createDataFrame([(1, "u1", "a"), (2, "u1", "b"), (3, "u2", "c"), (4, None, "d"), (5, None, "e")], "id long, url string, content string"))
+    got = dedupe_keep_best(table, F.lit("2030-01-01").cast("timestamp"))
+    assert sorted(r["id"] for r in got.collect()) == [1, 3, 4]
+
+
 # ---- mentions
 
 
@@ -272,7 +308,7 @@ def test_enrichment_keeps_earlier_matches_and_guard(spark):
 
 def test_delimited_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿"url\n";Title;Date;Extra\n https://a.org ;"x; ""y""";NA;1\nhttps://b.org;"two\nlines";22 Sep 2025;2\n', encoding="utf-8")
-    got = files.read_delimited(spark, str(tmp_path / "a.csv"))
+    got = files.read_delimited(spark, str(tmp_path / "a.csv"), multi_line=True)
     assert [tuple(r)[1:] for r in got.orderBy("pos").collect()] == [
         ("https://a.org", 'x; "y"', None, None, None), ("https://b.org", "two\nlines", "22 Sep 2025", None, None)]
     (tmp_path / "b.csv").write_text("Headline,When\nx,y\n")
@@ -333,7 +369,7 @@ def test_default_plans_have_no_pairwise_join(spark):
     articles = spark.createDataFrame([(1, "https://a.org/x")], "id long, url string")
     counts = spark.createDataFrame([("https://a.org/x/1", 1)], "mention_url string, shares long")
     plans = [
-        match_names(texts, entries(names, "name"), {"f": F.col("t")}, ["i"], how) for how in ("inline", "join")
+        match_names(texts, entries(names, "name"), {"f": F.col("t")}, how) for how in ("inline", "join")
     ] + [mentions.match_partial(counts, articles), mentions.match_exact(counts, articles)]
     for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()
