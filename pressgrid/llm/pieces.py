@@ -43,7 +43,7 @@ class Pieces:
         self.of_byte = {k: b for b, k in enumerate(self.byte)}
         self.longest = max(map(len, self.ids))
         # where no piece goes on, a text may be cut: before spaces, and before some punctuation
-        inner = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
+        self._inner = inner = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         if any(b == SPACE != a for a, b in inner):
             raise ValueError("pieces must not hold a space after another character")
         marks = "".join(c for c in MARKS if not any(b == c and a != SPACE and a not in MARKS for a, b in inner))
@@ -77,15 +77,20 @@ class Pieces:
         words, out = self._words, []
         for word in self._cut(SPACE + text.replace(" ", SPACE)):
             ids = words.get(word)
-            if ids is None:
-                ids = np.array(self._short(word) or list(self.stream(word)), np.int32).tobytes()
-                if len(word) <= CACHE_LENGTH:
-                    if len(words) >= CACHE_WORDS:
-                        words.clear()
-                    words[word] = ids
-            out.append(ids)
+            out.append(self._new(word) if ids is None else ids)
         return b"".join(out)
 
+    def _new(self, word: str) -> bytes:
+        """Ids of a word that was not met before; a mark at its end that no piece joins to the rest is cut off."""
+        if word[-1] in MARKS and len(word) > 1 and word[-2] != SPACE and (word[-2], word[-1]) not in self._inner:
+            return b"".join(self._words.get(part) or self._new(part) for part in (word[:-1], word[-1]))
+        ids = np.array(self._short(word) or list(self.stream(word)), np.int32).tobytes()
+        if len(word) <= CACHE_LENGTH:
+            if len(self._words) >= CACHE_WORDS:
+                self._words.clear()
+            self._words[word] = ids
+        return ids
+
     def _short(self, word: str) -> list[int] | None:
         """As `stream`, for a word that fits the window and has known characters only."""
         ids, known, longest = self.ids.get, self._follows.get, self.longest
