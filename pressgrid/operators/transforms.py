@@ -202,9 +202,10 @@ def delete_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows matching none of the shortened URLs, where '...' stands for anything (and _ for one character).
 
     A URL shortened at its end is a prefix: URLs are cut to the lengths that occur among the
-    prefixes and meet them in a key join, so any number of prefixes is fine. Patterns with a
-    wildcard elsewhere are tested in the scan while they are few (measured), their fixed parts
-    first; else against the URLs that share their fixed start.
+    prefixes and meet them in a key join, so any number of prefixes is fine. So do patterns with
+    a wildcard elsewhere (a _ in the path, say) whose fixed start holds the host; they are then
+    tested in full. The few without a host are tested in the scan (while they are measured few),
+    their fixed parts first.
     """
     wild = patterns.select(F.replace("url", F.lit("..."), F.lit("%")).alias("_like")).distinct() \
         .withColumn("_stem", F.regexp_extract("_like", r"^[^%_]*", 0))
@@ -214,19 +215,27 @@ def delete_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFrame:
     doomed = lookup(_starts(urls, wild.filter(is_prefix)), wild.filter(is_prefix).select("_stem"), "_stem", "left_semi") \
         .select("url").unionByName(wild.filter(is_exact).select(F.col("_like").alias("url")))
     other = wild.filter(~is_prefix & ~is_exact)
-    if is_small(other, PATTERN_LIST):
+    # a fixed start that holds a whole host meets few URLs: the key join, then the full test
+    anchored = other.filter(F.col("_stem").rlike("^[a-z]+://[^/]+/"))
+    doomed = doomed.unionByName(_wild_hits(urls, anchored))
+    loose = other.join(anchored.select("_like"), "_like", "left_anti")
+    if is_small(loose, PATTERN_LIST):
         longest = F.aggregate(F.split("_like", "[%_]"), F.lit(""), lambda best, part: F.when(
             F.length(part) > F.length(best), part).otherwise(best))
-        listed = other.agg(F.collect_list(F.struct("_stem", longest.alias("part"), "_like"))).scalar()
+        listed = loose.agg(F.collect_list(F.struct("_stem", longest.alias("part"), "_like"))).scalar()
         hit = "exists(_list, p -> startswith(u, p._stem) AND contains(u, p.part) AND u LIKE p._like)"
         spared = F.expr(f"NOT coalesce(transform(array(url), u -> {hit})[0], false)")
         articles = articles.withColumn("_list", listed).filter(spared).drop("_list")
     else:
-        hits = _starts(urls.distinct(), other).join(other, "_stem").filter(F.expr("url LIKE _like"))
-        doomed = doomed.unionByName(hits.select("url"))
+        doomed = doomed.unionByName(_wild_hits(urls, loose))
     return _without(articles, doomed.distinct(), "url")
 
 
+def _wild_hits(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """URLs that share a pattern's fixed start and match it."""
+    return _starts(urls.distinct(), patterns).join(patterns, "_stem").filter(F.expr("url LIKE _like")).select("url")
+
+
 def _starts(urls: DataFrame, patterns: DataFrame) -> DataFrame:
     """The beginnings of each URL that are as long as some pattern's fixed start."""
     lengths = patterns.agg(F.collect_set(F.length("_stem"))).scalar()  # at most one per URL length

@@ -169,6 +169,15 @@ def test_counts_of_deleted_rows(spark):
     assert transforms.count_deleted_by_pattern(articles, patterns).first()[0] == 1001
 
 
+def test_many_patterns_with_underscores(spark):
+    articles = spark.range(300).select(F.concat(F.lit("https://a.org/x_"), "id", F.lit("/y")).alias("url"))
+    patterns = spark.range(50, 10_050).select(F.concat(F.lit("https://a.org/x_"), "id", F.lit("/...")).alias("url"))
+    assert transforms.delete_by_pattern(articles, patterns).count() == 50
+    odd = spark.createDataFrame([("...org/x_7/...",), ("https://a.org/x_8...y",)], "url string")
+    left = {r["url"] for r in transforms.delete_by_pattern(articles, odd).collect()}
+    assert left == {f"https://a.org/x_{k}/y" for k in range(300) if k != 7 and k != 8 and not 80 <= k < 90}
+
+
 def test_bodies_stay_out_of_the_duplicate_count(spark):
     from pressgrid.operators.dedupe import dedupe_keep_best
     table = schemas.conform(spark.createDataFrame([(1, "u1", "a"), (2, "u1", "b"), (3, "u2", "c"), (4, None, "d"), (5, None, "e")], "id long, url string, content string"))
