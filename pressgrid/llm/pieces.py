@@ -81,9 +81,12 @@ class Pieces:
         return b"".join(out)
 
     def _new(self, word: str) -> bytes:
-        """Ids of a word that was not met before; a mark at its end that no piece joins to the rest is cut off."""
-        if word[-1] in MARKS and len(word) > 1 and word[-2] != SPACE and (word[-2], word[-1]) not in self._inner:
-            return b"".join(self._words.get(part) or self._new(part) for part in (word[:-1], word[-1]))
+        """Ids of a word that was not met before; marks at its end that no piece joins to the rest are cut off."""
+        end = len(word)
+        while end > 1 and word[end - 1] in MARKS and word[end - 2] != SPACE and (word[end - 2], word[end - 1]) not in self._inner:
+            end -= 1
+        if end < len(word):  # none of the parts has such a mark itself
+            return b"".join(self._words.get(part) or self._new(part) for part in (word[:end], *word[end:]))
         ids = np.array(self._short(word) or list(self.stream(word)), np.int32).tobytes()
         if len(word) <= CACHE_LENGTH:
             if len(self._words) >= CACHE_WORDS:

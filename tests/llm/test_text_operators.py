@@ -140,6 +140,14 @@ def test_pieces_are_the_models_own(frame, awkward):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((d, tuple(model.encode(t or ""))) for d, t in rows)
 
 
+def test_long_runs_of_marks():
+    import sentencepiece
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL), Pieces(MODEL)
+    for marks in ("\n" * 10_000, ";!" * 5_000, '.,;:!?"()\n' * 1_000, "!" * 10_000):
+        for text in (marks, "word" + marks, marks + "word", f"word{marks} word{marks}"):
+            assert np.frombuffer(pieces.encode(text), np.int32).tolist() == model.encode(text)
+
+
 def test_stream_commits_early():
     pieces = Pieces(MODEL)
     taken = 0
