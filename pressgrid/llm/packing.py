@@ -10,8 +10,10 @@ shuffled.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
+from pathlib import PurePath
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +26,28 @@ SENTENCE_CUT, INNER_CUT = 1, 4  # in tokens of padding; the end of a document co
 INNER_STEP = 8  # a sentence may be cut after every so many of its tokens
 SHORT_COST = 16  # of a sequence whose length is a smaller power of two
 RUN_TOKENS = 1 << 18
+LONG_SPACE = 1 << 17  # white space in a row that is left to the slower encoder; from about 1,000,000 the other one fails
 END = b"\0\0\0\0"  # id 0 ends a document
 
 
 class Encoder:
-    """Byte-level BPE ids from a rank file; strings of special tokens are ordinary text."""
+    """Ids of a byte-level BPE tokenizer, read from its JSON file and the rank file of the same name.
+
+    The rank file's encoder is faster and gives the same ids, but for texts that
+    hold an added token or very long white space; those are encoded by the JSON file.
+    """
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
+        import tokenizers
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        size = max(ranks.values()) + 1
+        self._fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._whole = tokenizers.Tokenizer.from_file(str(PurePath(path).with_suffix(".json")))
+        added = self._whole.get_added_tokens_decoder()
+        self._added = [token.content for token in added.values()]
+        size = max([*ranks.values(), *added]) + 1
         self.ends, self.breaks, self.spaced = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, bool)
         for piece, rank in ranks.items():
             self.ends[rank] = piece.rstrip(b"\"')")[-1:] in (b".", b"!", b"?")
@@ -44,7 +55,12 @@ class Encoder:
             self.spaced[rank] = piece[:1] in (b" ", b"\n")
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self._encode(text), np.uint32).tobytes()
+        if any(token in text for token in self._added) or (
+                len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in re.finditer(r"\s+", text))):
+            ids = self._whole.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self._fast(text)
+        return np.array(ids, np.uint32).tobytes()
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Places after a full stop that white space follows, and after line breaks."""
@@ -165,7 +181,7 @@ def pack_documents(
     """Pieces of the documents' token streams (ids of the text, then id 0), packed into sequences of at most `window`.
 
     `ranks` is the path of a byte-level BPE rank file, `pattern` its splitting
-    pattern. Documents keep the order of `docs` within each partition; a piece is
+    pattern; the tokenizer's JSON file lies beside it. Documents keep the order of `docs` within each partition; a piece is
     (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, when
     asked for, ids). A null or empty text is one token. Each row is a document of
     its own, whatever its doc_id (null included). Other columns are ignored; an

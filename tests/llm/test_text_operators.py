@@ -111,6 +111,15 @@ def test_packing(frame, awkward, monkeypatch):
     assert padding < 0.03 * sum(sizes.values())
 
 
+def test_packing_keeps_the_tokenizers_ids(frame):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 1_500), (3, "a" + " " * 1_200_000 + "b"), (4, "\n" * 1_200_000), (5, "<|endoftext|"),
+            (6, "a <|endoftext|>\n\xa0" + "\u3000" * 1_100_000)]
+    got = {}
+    for p in sorted(pack_documents(frame(rows), RANKS, PATTERN).collect(), key=lambda p: (p["doc_id"], p["start"])):
+        got.setdefault(p["doc_id"], []).extend(p["ids"])
+    assert got == dict(brute_pieces(rows))
+
+
 def test_cuts_are_the_best():
     rng = random.Random(1)
     for powers in (False, True):
