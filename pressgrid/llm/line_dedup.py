@@ -21,6 +21,7 @@ from pressgrid.llm.buffers import LOWER, SPACE, hashes, mixed, packed, slices, t
 from pressgrid.session import settle
 
 SHARD_LINES = 1 << 20
+PROBE_LINES = 1 << 21  # lines of documents that one task looks up in a shard; a shard with more is probed by several
 LEVELS, SPARE = 24, 1.6
 
 
@@ -140,7 +141,7 @@ class Shard:
         return out
 
 
-_PACKET = "shard long, key binary, sure binary, low binary, high binary, count binary"
+_PACKET = "shard long, salt long, key binary, sure binary, low binary, high binary, count binary"
 
 
 def _grouped(key, check, low, high, count):
@@ -153,9 +154,14 @@ def _grouped(key, check, low, high, count):
             np.add.reduceat(count[order], at))
 
 
-def _packets(shards: int, least: int, combine: bool):
-    """Line hashes by shard; combined, one entry per line of a batch, else one per line and document."""
+def _packets(shards: int, least: int, combine: bool, parts: dict[int, int] | None = None):
+    """Line hashes by shard; combined, one entry per line of a batch, else one per line and document.
+
+    Entries of a shard in `parts` are dealt to so many salts, by line and document.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.array(sorted(parts or ()), np.int64)
+        salts = np.array([parts[k] for k in hot.tolist()], np.uint64)
         for batch in (p for b in batches for p in slices(b)):
             known = batch.column("doc_id")
             batch = batch.filter(known.is_valid())
@@ -165,22 +171,26 @@ def _packets(shards: int, least: int, combine: bool):
             if not use.any():
                 continue
             key, check, doc = lines.key[use], lines.check[use], doc[use]
+            order = np.lexsort((doc, check, key))  # a document counts a line once
+            key, check, doc = key[order], check[order], doc[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (doc[1:] != doc[:-1])))
+            key, check, doc = key[new], check[new], doc[new]
             if combine:
-                order = np.lexsort((doc, check, key))  # a document counts a line once
-                key, check, doc = key[order], check[order], doc[order]
-                new = np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (doc[1:] != doc[:-1])))
-                key, check, doc = key[new], check[new], doc[new]
                 columns = _grouped(key, check, doc, doc, np.ones(len(doc), np.int64))
             else:
-                columns = (key, check, doc, doc, doc[:0])
+                columns = (key, check, doc, doc[:0], doc[:0])
             home = (mixed(columns[0], 1) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(home[order])) + 1, [len(home)]))
+            salt = np.zeros(len(home), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, home), len(hot) - 1)
+                own = hot[at] == home
+                salt[own] = (mixed(key[own] ^ mixed(doc[own].astype(np.uint64))) % salts[at[own]]).astype(np.int64)
+            order = np.lexsort((salt, home))
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(home[order]) | np.diff(salt[order])) + 1, [len(home)]))
             rows = [[packed(c[order[a:b]] if len(c) else c) for a, b in zip(cut[:-1], cut[1:], strict=True)] for c in columns]
-            if not combine:
-                rows[3] = [b""] * len(rows[0])
-            yield pa.record_batch([pa.array(home[order][cut[:-1]]), *(pa.array(r, pa.binary()) for r in rows)],
-                                  ["shard", "key", "sure", "low", "high", "count"])
+            first = order[cut[:-1]]
+            yield pa.record_batch([pa.array(home[first]), pa.array(salt[first]), *(pa.array(r, pa.binary()) for r in rows)],
+                                  ["shard", "salt", "key", "sure", "low", "high", "count"])
     return run
 
 
@@ -194,7 +204,8 @@ def _build(table: pa.Table) -> pa.Table:
         _column(table, "high", np.int64), _column(table, "count", np.int64))
     twice = low != high
     shard = Shard.build(key[twice], check[twice], count[twice], low[twice])
-    return pa.table({"shard": table.column("shard").slice(0, 1), "arrays": pa.array([pickle.dumps(shard)], pa.binary())})
+    return pa.table({"shard": table.column("shard").slice(0, 1), "arrays": pa.array([pickle.dumps(shard)], pa.binary()),
+                     "entries": pa.array([int(count.sum())])})
 
 
 def _probe(packets: pa.Table, index: pa.Table) -> pa.Table:
@@ -239,14 +250,28 @@ def _rewrite(names: list[str], least: int):
 
 
 def line_index(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(shard, arrays): the perfect hashes of lines with `least` code points that at least two documents hold."""
+    """(shard, arrays, entries, shards): the perfect hashes of lines with `least` code points that at least two documents hold.
+
+    `entries` is how many lines the documents look up in the shard, those of one
+    document within a batch counted once.
+    """
     rows = F.sum(F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1)
     shards = max(1, math.ceil((docs.agg(rows.alias("n")).first()["n"] or 0) / SHARD_LINES))
     return settle(
-        docs.mapInArrow(_packets(shards, least, True), _PACKET).groupBy("shard").applyInArrow(_build, "shard long, arrays binary")
+        docs.mapInArrow(_packets(shards, least, True), _PACKET).groupBy("shard").applyInArrow(_build, "shard long, arrays binary, entries long")
     ).withColumn("shards", F.lit(shards))
 
 
+def probe_packets(docs: DataFrame, index: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Packets of the lines that documents look up, and the index with a row per salt of its shard."""
+    shards = index.select("shards").first()
+    hot = index.filter(F.col("entries") > PROBE_LINES).select("shard", F.ceil(F.col("entries") / PROBE_LINES).alias("salts"))
+    parts = {r["shard"]: r["salts"] for r in hot.collect()}  # at most one for PROBE_LINES lines of the table
+    packets = docs.mapInArrow(_packets(shards["shards"] if shards else 1, least, False, parts), _PACKET)
+    last = F.greatest(F.ceil(F.col("entries") / PROBE_LINES), F.lit(1)) - 1
+    return packets, index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("salt"), "arrays")
+
+
 def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """`docs` with repeated lines taken out of `text`, and `n_lines` (before) and `n_dropped`.
 
@@ -260,10 +285,9 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = line_index(narrow, least)
-    shards = index.select("shards").first()
-    packets = narrow.mapInArrow(_packets(shards["shards"] if shards else 1, least, False), _PACKET)
+    packets, index = probe_packets(narrow, index, least)
     lost = (
-        packets.groupBy("shard").cogroup(index.drop("shards").groupBy("shard"))
+        packets.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt"))
         .applyInArrow(_probe, "doc_id long, lost binary")
         .groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("lost").alias("_lost"))
     )

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from pressgrid.llm import ngram_join, packing
+from pressgrid.llm import line_dedup, ngram_join, packing
 from pressgrid.llm.line_dedup import PerfectHash, dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
@@ -62,6 +62,20 @@ def test_line_dedup(frame, awkward):
     assert Counter(map(tuple, got.select("doc_id", "text", "n_lines", "n_dropped").collect())) == want
 
 
+def test_hot_line_is_probed_by_several_tasks(frame, monkeypatch):
+    """A line of all documents, several times in each, is folded and dealt out; the rows stay the same."""
+    rows = [(k, f"own line number {k}\n" + "the line of all documents\n" * 5) for k in range(3_000)]
+    monkeypatch.setattr(line_dedup, "PROBE_LINES", 500)
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 10_000)
+    docs = frame(rows).select("doc_id", "text")
+    packets, index = line_dedup.probe_packets(docs, line_dedup.line_index(docs))
+    sizes = {(r["shard"], r["salt"]): r["n"] for r in packets.groupBy("shard", "salt").agg(F.sum(F.octet_length("key") / 8).alias("n")).collect()}
+    assert sum(sizes.values()) == 6_000 and max(sizes.values()) < 700
+    assert set(sizes) == {(r["shard"], r["salt"]) for r in index.collect()}
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in dedup_lines(docs).collect()}
+    assert got == {d: (t if d == 0 else f"own line number {d}\n", 7, 5 * (d > 0)) for d, t in rows}
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
     slots = PerfectHash(keys)
