@@ -2,21 +2,22 @@
 
 Character n-grams of labelled documents are counted for the text's likelihood.
 What the markup declares and what the address's ending suggests are weighed by
-how often they go with each language, and hosts have priors smoothed towards
-their domain and then towards all pages; these tables come from grouped sums of
-the pages' own text posteriors. A page's own share is taken out of its host's sums.
+how often each value goes with each language, smoothed towards all pages, and
+hosts have priors smoothed towards their domain and then towards all pages; these
+tables come from grouped sums of the pages' own text posteriors. A page's own
+share is taken out of these sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.llm.buffers import LOWER, mixed, slices, text_bytes
+from pressgrid.operators.lookup import lookup
 from pressgrid.session import settle
 
 BUCKETS = 1 << 14  # hashed n-grams; the model has this many numbers per language
@@ -24,7 +25,9 @@ WIDTHS = (2, 3, 4)
 LANGUAGES = 64  # the most frequent labels are told apart
 EVIDENCE_GRAMS = 40  # a longer text counts as so many independent n-grams
 HOST_PAGES, DOMAIN_PAGES = 5.0, 20.0  # pages that a prior from above is worth
-ODD = 1.0  # pages added to each cell of a table of hints
+HINT_PAGES = 20.0  # pages that all pages are worth beside those with one declared value or ending
+ODD = 1.0  # pages added to each language's sum over all pages
+SCORED = 1024  # pages scored at a time
 _TWO_PART = ["co", "com", "org", "net", "ac", "gov", "edu"]  # second-level endings under a country's
 
 
@@ -106,8 +109,13 @@ def domain_of(host: Column) -> Column:
     return F.when(F.size(labels) < 2, host).otherwise(F.array_join(F.slice(labels, -F.when(three, 3).otherwise(2), 3), "."))
 
 
-def _sum(columns) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _smoothed(sums: np.ndarray, above: np.ndarray, pages: float) -> np.ndarray:
+    """Shares of languages, drawn towards those `above` as by so many pages."""
+    return (sums + pages * above) / (sums.sum(axis=1, keepdims=True) + pages)
 
 
 def page_languages(pages: DataFrame, names: list[str], shares: np.ndarray) -> DataFrame:
@@ -144,45 +152,31 @@ def page_languages(pages: DataFrame, names: list[str], shares: np.ndarray) -> Da
                 pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(batch) + 1, n, dtype=np.int32)), flat)], ["page_id", "host", "declared", "log"])
 
     seen = settle(narrow.mapInArrow(likelihoods, f"page_id {kind}, host string, declared string, log array<double>"))
-    own = [F.exp(F.col("log")[k]) for k in range(n)]
-    hosts = seen.groupBy("host").agg(*[F.sum(p).alias(f"h{k}") for k, p in enumerate(own)])
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": F.element_at(F.split("host", r"\."), -1)})
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
-    hosts = settle(hosts.join(domains, "domain"))
-
-    def hint(value: Column) -> Column:
-        """Which language a hint names: its number, n for another value, n + 1 for none."""
-        named = F.coalesce(*[F.when(value == name, F.lit(k)) for k, name in enumerate(names)])
-        return F.coalesce(named, F.when(value == "", F.lit(n + 1)), F.lit(n))
-
-    def table_of(rows: DataFrame, value: Column, sums: list[Column]) -> np.ndarray:
-        """Log shares of a hint's values in each language; at most n + 2 rows come back."""
-        counts = np.full((n + 2, n), ODD)
-        for r in rows.groupBy(hint(value).alias("v")).agg(*[F.sum(s).alias(f"s{k}") for k, s in enumerate(sums)]).collect():
-            counts[r["v"]] += [r[f"s{k}"] for k in range(n)]
-        return np.log(counts / counts.sum(axis=0))
-
-    declared = table_of(seen, F.col("declared"), own)
-    suffix = table_of(hosts, F.col("suffix"), [F.col(f"h{k}") for k in range(n)])
-    everywhere = np.array(hosts.agg(*[F.coalesce(F.sum(f"h{k}"), F.lit(0.0)) for k in range(n)]).first()) + ODD
+
+    def sums(rows: DataFrame, key: str, of: str, name: str) -> DataFrame:
+        each = [F.exp(F.col(of)[k]) if of == "log" else F.col(of)[k] for k in range(n)]
+        return rows.groupBy(key).agg(F.array(*[F.sum(x) for x in each]).alias(name))
+
+    hosts = sums(seen, "host", "log", "h")
+    hosts = settle(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": F.element_at(F.split("host", r"\."), -1)}))
+    everywhere = np.array(hosts.agg(*[F.coalesce(F.sum(F.col("h")[k]), F.lit(0.0)) for k in range(n)]).first()) + ODD
     everywhere = everywhere / everywhere.sum()
+    hosts = lookup(hosts.join(sums(hosts, "domain", "h", "d"), "domain"), settle(sums(hosts, "suffix", "h", "s")), "suffix")
+    rows = seen.join(settle(hosts.select("host", "h", "d", "s")), "host")
+    rows = lookup(rows, settle(sums(seen, "declared", "log", "v")), "declared")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = np.array(names, object)
+        for batch in (b.slice(a, SCORED) for b in batches for a in range(0, len(b), SCORED)):
+            log = _rows(batch.column("log"), n)
+            h, d, s, v = (np.maximum(_rows(batch.column(c), n) - np.exp(log), 0) for c in "hdsv")
+            prior = _smoothed(h, _smoothed(d, everywhere, DOMAIN_PAGES), HOST_PAGES)
+            score = log + np.log(prior) + sum(np.log(_smoothed(x, everywhere, HINT_PAGES) / everywhere) for x in (s, v))
+            sure = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+            yield pa.record_batch([
+                *(batch.column(c) for c in ("page_id", "host", "declared")), pa.array(named[log.argmax(axis=1)], pa.string()),
+                pa.array(named[score.argmax(axis=1)], pa.string()), pa.array(sure)],
+                ["page_id", "host", "declared", "text_lang", "lang", "confidence"])
 
-    rows = seen.join(hosts, "host")
-    h = [F.greatest(F.col(f"h{k}") - p, F.lit(0.0)) for k, p in enumerate(own)]
-    d = [F.greatest(F.col(f"d{k}") - p, F.lit(0.0)) for k, p in enumerate(own)]
-
-    def looked_up(values: np.ndarray, value: Column, k: int) -> Column:
-        return F.array(*[F.lit(float(v)) for v in values[:, k]])[hint(value)]
-
-    scores = []
-    for k in range(n):
-        domain = (d[k] + DOMAIN_PAGES * float(everywhere[k])) / (_sum(d) + DOMAIN_PAGES)
-        prior = (h[k] + HOST_PAGES * domain) / (_sum(h) + HOST_PAGES)
-        scores.append(F.col("log")[k] + F.log(prior) + looked_up(declared, F.col("declared"), k) + looked_up(suffix, F.col("suffix"), k))
-    named = F.array(*[F.lit(x) for x in names])
-    best = rows.withColumn("score", F.array(*scores)).withColumn("top", F.array_max("score"))
-    return best.select(
-        "page_id", "host", "declared",
-        named[F.array_position("log", F.array_max("log")).cast("int") - 1].alias("text_lang"),
-        named[F.array_position("score", F.col("top")).cast("int") - 1].alias("lang"),
-        (1 / F.aggregate("score", F.lit(0.0), lambda t, s: t + F.exp(s - F.col("top")))).alias("confidence"))
+    return rows.select("page_id", "host", "declared", "log", "h", "d", "s", "v").mapInArrow(
+        scored, f"page_id {kind}, host string, declared string, text_lang string, lang string, confidence double")

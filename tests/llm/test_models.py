@@ -64,5 +64,16 @@ def test_language(spark):
     assert count_grams(docs.limit(0))[0] == []
 
 
+def test_every_ending_and_declared_value_counts(spark):
+    """Values that are no label are told apart: .at and 'ger' go with de-at, .com and 'eng' with en."""
+    en, de = "the house and the water with this other thing ", "das haus und wasser mit dieser anderen sache nicht "
+    names, shares = count_grams(spark.createDataFrame([(en * 20, "en"), (de * 20, "de-at")], "text string, lang string"))
+    rows = [(k, f"http://h{k}.com/", f"<html lang='eng'>{en}") for k in range(200)] + [
+        (k, f"http://h{k}.at/", f"<html lang='ger'>{de}") for k in range(200, 260)]
+    rows += [(900, "http://new.at/", None), (901, "http://new.com/", ""), (902, None, "<html lang='ger'>"), (903, None, "<html lang='eng'>")]
+    got = {r["page_id"]: r["lang"] for r in page_languages(spark.createDataFrame(rows, "page_id long, url string, html string"), names, shares).collect()}
+    assert [got[k] for k in (0, 200, 900, 901, 902, 903)] == ["en", "de-at", "de-at", "en", "de-at", "en"]
+
+
 def test_hosts(one):
     assert one(["https://www.A.example.co.uk:80/x", "http://u@b.de", "x", None], lambda c: domain_of(host_of(c))) == ["example.co.uk", "b.de", "", ""]
