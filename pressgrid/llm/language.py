@@ -22,7 +22,7 @@ from pressgrid.session import settle
 
 BUCKETS = 1 << 14  # hashed n-grams; the model has this many numbers per language
 WIDTHS = (2, 3, 4)
-LANGUAGES = 64  # the most frequent labels are told apart
+HELD = 64  # labels whose counts a task holds at a time
 EVIDENCE_GRAMS = 40  # a longer text counts as so many independent n-grams
 HOST_PAGES, DOMAIN_PAGES = 5.0, 20.0  # pages that a prior from above is worth
 HINT_PAGES = 20.0  # pages that all pages are worth beside those with one declared value or ending
@@ -58,29 +58,35 @@ def count_grams(docs: DataFrame, lang: str = "lang") -> tuple[list[str], np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in (p for b in batches for p in slices(b)):
-            labels = np.array(batch.column("lang").to_pylist(), object)
+            labels = batch.column("lang").dictionary_encode()
             grams, owner = _grams(batch.column("text"))
-            for name in dict.fromkeys(labels.tolist()):
-                own = np.bincount(grams[labels[owner] == name], minlength=BUCKETS) if len(grams) else np.zeros(BUCKETS, np.int64)
-                totals[name] = totals.get(name, 0) + own
-            if len(totals) > LANGUAGES:
-                yield _counts(totals)
-                totals = {}
+            code = labels.indices.to_numpy()[owner]
+            own = labels.dictionary.to_pylist()
+            for k in range(0, len(own), HELD):
+                some = own[k : k + HELD]
+                at = (code >= k) & (code < k + HELD)
+                counts = np.bincount((code[at] - k) * BUCKETS + grams[at], minlength=len(some) * BUCKETS).reshape(len(some), BUCKETS)
+                for name, row in zip(some, counts, strict=True):
+                    totals[name] = totals.get(name, 0) + row
+                if len(totals) > HELD:
+                    yield _counts(totals)
+                    totals = {}
         if totals:
             yield _counts(totals)
 
+    def logs(table: pa.Table) -> pa.Table:
+        counts = np.full(BUCKETS, 0.5)
+        counts[table.column("gram").to_numpy()] += table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "logs": pa.array([np.log(counts / counts.sum()).astype(np.float32).tobytes()], pa.binary())})
+
     known = docs.filter(f"{lang} is not null and text is not null").select("text", F.lower(F.trim(F.col(lang).cast("string"))).alias("lang"))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    counted = (
-        known.join(F.broadcast(common), "lang").mapInArrow(run, "lang string, gram int, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    got = (
+        known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        .groupBy("lang").applyInArrow(logs, "lang string, logs binary").toArrow()  # 64 KB a label
     )
-    got = counted.toArrow()  # at most LANGUAGES * BUCKETS rows
-    names = sorted(set(got.column("lang").to_pylist()))
-    at = {name: k for k, name in enumerate(names)}
-    counts = np.full((len(names), BUCKETS), 0.5)
-    counts[[at[x] for x in got.column("lang").to_pylist()], got.column("gram").to_numpy()] += got.column("n").to_numpy()
-    return names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    tables = dict(zip(got.column("lang").to_pylist(), got.column("logs").to_pylist(), strict=True))
+    names = sorted(tables)
+    return names, np.frombuffer(b"".join(tables[x] for x in names), np.float32).reshape(len(names), BUCKETS)
 
 
 def _counts(totals: dict[str, np.ndarray]) -> pa.RecordBatch:

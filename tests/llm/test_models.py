@@ -64,6 +64,17 @@ def test_language(spark):
     assert count_grams(docs.limit(0))[0] == []
 
 
+def test_every_label_is_kept(spark):
+    rng = np.random.default_rng(3)
+    texts = {f"l{k:02}": " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60)) for k in range(90)}
+    docs = spark.createDataFrame([(t, x) for x, t in texts.items()] + [(t, x) for x, t in list(texts.items())[:40]], "text string, lang string")
+    names, shares = count_grams(docs)
+    assert names == sorted(texts) and np.allclose(np.exp(shares).sum(axis=1), 1, atol=1e-3)
+    rows = spark.createDataFrame([(k, None, t) for k, t in enumerate(texts.values())], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text_lang"], r["lang"]) for r in page_languages(rows, names, shares).collect()}
+    assert got == {k: (x, x) for k, x in enumerate(texts)}
+
+
 def test_every_ending_and_declared_value_counts(spark):
     """Values that are no label are told apart: .at and 'ger' go with de-at, .com and 'eng' with en."""
     en, de = "the house and the water with this other thing ", "das haus und wasser mit dieser anderen sache nicht "
