@@ -5,11 +5,13 @@ Hilbert curve, several times with other rotations and shifts. Each ordering is
 range-partitioned by its key; a query is compared with the rows of a window
 around its place, and the windows of all curves are merged. The window's width
 is measured on a sample of queries against all rows, so that it follows the data.
+Vectors of each length have curves, a window and blocks of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,17 +121,20 @@ def nearest_vectors(
 
     Ties go to the smaller key; a query has fewer rows where there are fewer
     candidates. Rows with a null key or a vector that is null, empty or zero or
-    holds null or non-finite components take no part, nor do vectors whose length
-    differs from the most frequent one. Rows of one key are one vector, the
-    smallest. Other columns are ignored; an empty table has an empty result.
+    holds null or non-finite components take no part; only vectors of
+    one length are compared. Rows of one key are one vector, the smallest. Other
+    columns are ignored; an empty table has an empty result.
     """
     vectors = settle(
         packed_vectors(rows, key, value).groupBy("key").agg(F.min(F.struct("dim", "vec", "norm")).alias("v")).select("key", "v.*"))
-    most = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if most is None:
+    dims = sorted(r["dim"] for r in vectors.filter(F.col("key") % every == 0).select("dim").distinct().collect())
+    if not dims:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = most["dim"]
-    vectors = vectors.filter(F.col("dim") == dim)
+    return reduce(DataFrame.unionByName, [_of_length(vectors.filter(F.col("dim") == dim), dim, every, k, recall) for dim in dims])
+
+
+def _of_length(vectors: DataFrame, dim: int, every: int, k: int, recall: float) -> DataFrame:
+    """`nearest_vectors` of (key, dim, vec, norm), all of length `dim`."""
     queries = vectors.filter(F.col("key") % every == 0)
     sample = vectors.orderBy(F.xxhash64("key")).limit(SAMPLE_ROWS).select("vec").toArrow()
     curves = Curves(matrix(sample.column("vec"), dim), vectors.agg(F.max("norm").alias("m")).first()["m"])

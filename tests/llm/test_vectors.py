@@ -103,3 +103,17 @@ def test_few_candidates(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 2.0), (0, 2, 3, 2.0), (0, 3, 5, 2.0)]
     assert nearest_vectors(table(spark, [])).count() == 0
     assert nearest_vectors(table(spark, [(0, [1.0]), (20, None)])).count() == 0
+
+
+def test_each_length_has_its_neighbours(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(61)] + [(100 + k, rng.normal(size=3).tolist()) for k in range(41)] + [(200, [1.0])]
+    got = {}
+    for r in sorted(nearest_vectors(table(spark, rows), k=5, recall=1.0).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            near = sorted((-float(np.dot(v, w)), i) for i, w in rows if len(w) == len(v) and i != q)[:5]
+            want |= {q: [i for _, i in near]} if near else {}
+    assert got == want and {0, 60, 100, 140} <= set(got)
