@@ -15,6 +15,7 @@ from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
 from pressgrid.llm.pieces import decode_pieces, encode_pieces, same_text
+from pressgrid.llm.quality import score_quality, train as train_quality
 from pressgrid.llm.secrets import BASE, REACH, WEAK, find_secrets, listed
 from pressgrid.llm.sharding import shard_rows
 from pressgrid.llm.toxicity import held_out, score_toxicity, train
@@ -177,3 +178,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     names, shares = count_grams(table(spark, folder, "documents"))
     return page_languages(table(spark, folder, "pages"), names, shares)
+
+
+@query("op13_quality_classifier")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = train_quality(docs, table(spark, folder, "labels").filter(~held_out()))
+    return score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), F.col("accepted").cast("int").alias("predicted"))
