@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgrid.llm.forest import near_vectors
@@ -15,9 +17,11 @@ from pressgrid.llm.line_dedup import dedup_lines
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
 from pressgrid.llm.pieces import decode_pieces, encode_pieces, same_text
+from pressgrid.llm.prefix_trie import prefix_nodes
 from pressgrid.llm.quality import score_quality, train as train_quality
 from pressgrid.llm.secrets import BASE, REACH, WEAK, find_secrets, listed
 from pressgrid.llm.sharding import shard_rows
+from pressgrid.llm.structure_repair import audit_conversations, repair_conversations
 from pressgrid.llm.toxicity import held_out, score_toxicity, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +190,124 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     model = train_quality(docs, table(spark, folder, "labels").filter(~held_out()))
     return score_quality(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), F.col("accepted").cast("int").alias("predicted"))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL, bit by bit."""
+    bits = "list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return (f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({text}, ''), "
+            f"lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, byte: {bits}))")
+
+
+@query("op11_prefix_trie", rf"""
+WITH turn AS (SELECT conv_id, turn, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(said ORDER BY turn NULLS FIRST, sha256(length(said.r) || ':' || said.r || said.x)) AS seq FROM turn GROUP BY conv_id),
+sized AS (SELECT *, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.seq, [])[1:c.h], c.seq[c.h + 1:]) AS seq FROM sized AS c LEFT JOIN own AS b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefix AS (SELECT conv_id, seq[1:d] AS p, d, len(seq) = d AS ends FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefix GROUP BY p, d),
+child AS (SELECT q, count(*) AS n_children FROM (SELECT p[1:d - 1] AS q FROM node WHERE d > 0) GROUP BY q),
+valued AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].x, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM node LEFT JOIN child ON q = p),
+total AS (
+  SELECT q, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT p[1:a] AS q, n_children, saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM valued)) GROUP BY q)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued AS v JOIN total ON q = v.p LEFT JOIN node AS up ON v.d > 0 AND up.p = v.p[1:v.d - 1]
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_nodes(table(spark, folder, "conversations"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of `conversations` with the faults that op12 is to find, by a hash of conversation and turn."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    act = F.col("_act")
+    return (
+        conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key.cast("binary")) % 20).alias("_act")).filter(act != 0)
+        .select("conv_id", "turn", F.when(act == 4, "user").otherwise(F.col("role")).alias("role"),
+                F.when(act == 1, "").when(act == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+                F.explode(F.when(act == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy")).drop("_copy"))
+
+
+def turns_sha256(turns: DataFrame) -> DataFrame:
+    """Per conversation the SHA-256 of its newline-joined `role:text`; reads each partition in the order it has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            done = []
+            for conv, place, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "place", "role", "text")), strict=True):
+                if place == 1:
+                    if state:
+                        done.append((now, state.hexdigest()))
+                    now, state = conv, hashlib.sha256(f"{role}:{text}".encode())
+                else:
+                    state.update(f"\n{role}:{text}".encode())
+            yield pa.record_batch([pa.array([d[k] for d in done], t) for k, t in enumerate((batch.column("conv_id").type, pa.string()))], ["conv_id", "sha"])
+        if state:
+            yield pa.record_batch([pa.array([v]) for v in (now, state.hexdigest())], ["conv_id", "sha"])
+
+    return turns.mapInArrow(run, f"conv_id {dict(turns.dtypes)['conv_id']}, sha string")
+
+
+@query("op12_structure_repair", rf"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS act FROM conversations),
+row_ AS (
+  SELECT conv_id, turn, CASE WHEN act = 4 THEN 'user' ELSE role END AS role,
+    CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE act WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM row_),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+fault AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM fault GROUP BY conv_id),
+-- what may be put in: from what was put out last (0 nothing, 1 system, 2 user, 3 assistant) to what is last then
+put(a, b, edits, price, more) AS (VALUES (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']),
+  (3, 2, 'I', 2, ['user:']), (2, 3, 'I', 2, ['assistant:']), (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 3, 'II', 4, ['user:', 'assistant:'])),
+search(conv_id, i, st, cost, audit, built) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), b, price, edits, more FROM counted JOIN put ON a = 0
+  UNION ALL
+  SELECT conv_id, i, st, cost, audit, built FROM (
+    SELECT s.conv_id, f.i, p.b AS st, s.cost + e.price + p.price AS cost, s.audit || e.edit || p.edits AS audit, list_concat(s.built, list_concat(e.more, p.more)) AS built
+    FROM search AS s JOIN fault AS f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1,
+    LATERAL (
+      SELECT s.st AS b, 'D' AS edit, 3 AS price, [] AS more
+      UNION ALL SELECT CASE left(f.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'K', CAST(f.fault = 'truncated' AS INT), [f.role || ':' || f.text]
+        WHERE f.fault NOT IN ('blank', 'duplicate') AND ((left(f.role, 1) = 's' AND s.st = 0) OR (left(f.role, 1) = 'u' AND s.st <> 2) OR (left(f.role, 1) = 'a' AND s.st = 2))
+      UNION ALL SELECT CASE WHEN s.st = 2 THEN 3 ELSE 2 END, 'R', 2 + CAST(f.fault = 'truncated' AS INT), [CASE WHEN s.st = 2 THEN 'assistant:' ELSE 'user:' END || f.text]
+        WHERE f.fault NOT IN ('blank', 'duplicate')) AS e
+    JOIN put AS p ON p.a = e.b)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1),
+done AS (
+  SELECT s.* FROM search AS s JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = c.n WHERE st IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY cost, audit) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(built, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done AS d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    turns = damaged(conversations)
+    audits = audit_conversations(turns)
+    hashes = turns_sha256(repair_conversations(turns, audits))
+    all_ids = conversations.select(F.col("conv_id").alias("id")).distinct()
+    found = audits.join(hashes.withColumnRenamed("conv_id", "h_id"), F.col("conv_id").eqNullSafe(F.col("h_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return all_ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
