@@ -7,16 +7,19 @@ batch leaves no double rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressgrid.functions.urls import normalize_url
 from pressgrid.operators.joins import known_keys
 from pressgrid.operators.mentions import match_exact, mention_urls, relevant_mentions
-from pressgrid.operators.ordering import first_seen
 from pressgrid.plans.enrich import Dictionaries, enrich_articles
+from pressgrid.sources.folders import numbered, remove
+from pressgrid.streaming.folded import FoldedTable
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
@@ -67,61 +70,149 @@ def enrich_query(
     return _per_batch(articles.filter("data_ingestion"), out, work, trigger=trigger)
 
 
+def _first_copies(rows: DataFrame, key: str, pos: str, whole: bool) -> DataFrame:
+    """The copy with the smallest position of each key: per Arrow batch, or with `whole` per partition.
+
+    Streams know no aggregation that starts anew with every batch, so copies are folded inside the tasks.
+    """
+    def first(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(key, "ascending"), (pos, "ascending")]))
+        keys = table.column(key).combine_chunks()
+        fresh = pa.concat_arrays([pa.array([True]), pc.not_equal(keys[1:], keys[:-1])]) if len(keys) else pa.array([], pa.bool_())
+        return table.filter(fresh)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+        for batch in batches:
+            kept.append(first(pa.Table.from_batches([batch])))
+            if not whole:
+                yield from kept.pop().to_batches()
+            elif len(kept) > 1 and kept[-1].num_rows + sum(t.num_rows for t in kept[1:-1]) >= kept[0].num_rows:
+                kept = [first(pa.concat_tables(kept))]  # each time twice as many rows, so the work stays in proportion
+        if kept:
+            yield from first(pa.concat_tables(kept)).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def dedupe_query(
-    urls: DataFrame, known: DataFrame, out: str, pos: str = "pos", trigger: dict | None = None,
+    urls: DataFrame, known: DataFrame | Callable[[], DataFrame], out: str, pos: str = "pos", horizon: str = "7 days",
+    arrived: str | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """First sighting of each normalised URL that is neither known nor seen in an earlier batch.
 
-    Copies inside a batch are folded map-side before the shuffle, so a URL that
-    fills a third of a batch does not end in one task.
+    Spark's keyed state remembers the URLs seen, and lets them go when `horizon` has passed since
+    they arrived (by the clock, or by the time column `arrived`); by then they have to be in `known`, which is
+    read anew for each batch when it is a function. Earlier output is never read. Copies inside
+    a batch are folded before they are shuffled and again before they meet the state, so a URL
+    that fills a third of a batch is one row per Arrow batch, and the smallest position wins.
     """
-    spark = urls.sparkSession
+    normal = urls.withColumn("url", normalize_url(F.col("url"))).filter(F.col("url") != "")
+    folded = _first_copies(_first_copies(normal, "url", pos, whole=False).repartition("url"), "url", pos, whole=True)
+    timed = folded.withColumn("_arrived", F.col(arrived) if arrived else F.current_timestamp())
+    unseen = timed.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["url"]).drop("_arrived")
 
     def work(batch: DataFrame, batch_id: int) -> DataFrame:
-        normal = batch.withColumn("url", normalize_url(F.col("url"))).filter(F.col("url") != "")
-        fresh = first_seen(normal, "url", pos)
-        seen = known.select("url")
-        if batch_id > 0:
-            seen = seen.unionByName(stored(spark, out).filter(F.col("batch_id") < batch_id).select("url"))
+        stored = known() if callable(known) else known
         # only the batch's own URLs are looked for, so the known ones are scanned, not shuffled
-        return fresh.join(known_keys(seen, F.col("url"), fresh.select("url"), "url"), "url", "left_anti")
+        return batch.join(known_keys(stored.select("url"), F.col("url"), batch.select("url"), "url"), "url", "left_anti")
+
+    return _per_batch(unseen, out, work, trigger=trigger, reuse=True)
 
-    return _per_batch(urls, out, work, trigger=trigger, reuse=True)
 
+def _into_table(stream: DataFrame, table: FoldedTable, out: str, trigger: dict | None) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(table.add).outputMode("append").option("checkpointLocation", f"{out}/state")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def queue_table(spark: SparkSession, out: str, **sizes: int) -> FoldedTable:
+    """The newest event per queue entry."""
+    def newest(events: DataFrame) -> DataFrame:
+        return events.groupBy("id").agg(F.max_by(
+            F.struct("url", "status", "batch_name", "updated_at", "seq"), F.struct("updated_at", "seq")).alias("_r")).select("id", "_r.*")
 
-def queue_state_query(log: DataFrame, out: str, trigger: dict | None = None) -> StreamingQuery:
-    """Current status per queue entry, updated as events arrive."""
-    state = log.groupBy("id").agg(F.max_by(
-        F.struct("url", "status", "batch_name", "updated_at"), F.struct("updated_at", "seq")).alias("_r")).select("id", "_r.*")
-    return _per_batch(state, out, lambda batch, _: batch, "update", trigger)
+    return FoldedTable(spark, f"{out}/table", "id", newest, **sizes)
+
+
+def queue_state_query(log: DataFrame, out: str, trigger: dict | None = None, **sizes: int) -> StreamingQuery:
+    """Current status per queue entry, kept as a snapshot and the batches since; `queue_table(spark, out).read()` shows it."""
+    return _into_table(log, queue_table(log.sparkSession, out, **sizes), out, trigger)
 
 
 def settled_query(rows: DataFrame, out: str, ts: str = "updated_at", delay: str = "90 minutes", trigger: dict | None = None) -> StreamingQuery:
-    """Hourly row counts, written only once no row of the hour can arrive any more."""
+    """Hourly row counts, written only once no row of the hour can arrive any more; later rows are left out (`late_guard_query` keeps them)."""
     hours = rows.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour").alias("w")).agg(F.count("*").alias("n"))
     flat = hours.select(F.col("w.start").alias("hour_start"), "n")
     return _per_batch(flat, out, lambda batch, _: batch, "append", trigger)
 
 
-def late_query(rows: DataFrame, out: str, ts: str = "updated_at", delay: str = "90 minutes", trigger: dict | None = None) -> StreamingQuery:
-    """Rows that `settled_query` no longer counts, kept as a table to be retried.
+def late_guard_query(
+    rows: DataFrame, out: str, ts: str = "updated_at", delay: str = "90 minutes", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Routes each row to its hour's count or, when that hour is closed, to the late table.
 
-    A row is late when it is older, by more than `delay`, than the newest row of
-    the batches before. Each batch leaves its newest time beside its rows, so a
+    An hour is closed once it ended more than `delay` before the newest row of the
+    batches before. Its count is then written (`settled_hours`); rows that come later, and rows
+    without a time, are kept whole (`late_rows`) until `retry_late` takes them up. Between batches only
+    the counts of open hours and the newest time are kept, and a batch reads those of the batch before it, so a
     repeated batch decides alike.
     """
     spark = rows.sparkSession
+    hour = F.date_trunc("hour", F.col(ts))
+    margin = F.expr(f"INTERVAL {delay}")
+    hour_end = F.col("hour_start") + F.expr("INTERVAL 1 HOUR")
 
     def work(batch: DataFrame, batch_id: int) -> DataFrame:
-        batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{out}/newest/batch_id={batch_id}")
-        newest = spark.read.parquet(f"{out}/newest").filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
-        if newest is None:
-            return batch.limit(0)
-        return batch.filter(F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {delay}"))
+        before = batch_id - 1
+        newest, open_hours = None, None
+        if batch_id > 0:
+            newest = spark.read.parquet(f"{out}/newest/batch_id={before}").first()["newest"]
+            open_hours = spark.read.parquet(f"{out}/open/batch_id={before}")
+        placed = batch.withColumn("hour_start", hour)
+        closed = F.lit(False) if newest is None else hour_end <= F.lit(newest) - margin
+        late = F.col("hour_start").isNull() | closed
+        placed.filter(late).drop("hour_start").write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
+        counts = placed.filter(~late).groupBy("hour_start").agg(F.count("*").alias("n"))
+        if open_hours is not None:
+            counts = counts.unionByName(open_hours).groupBy("hour_start").agg(F.sum("n").alias("n"))
+        top = batch.agg(F.greatest(F.max(ts), F.lit(newest).cast("timestamp")).alias("newest"))
+        top.write.mode("overwrite").parquet(f"{out}/newest/batch_id={batch_id}")
+        now = spark.read.parquet(f"{out}/newest/batch_id={batch_id}").first()["newest"]
+        done = F.coalesce(hour_end <= F.lit(now).cast("timestamp") - margin, F.lit(False))
+        counts.filter(~done).write.mode("overwrite").parquet(f"{out}/open/batch_id={batch_id}")
+        for name in ("open", "newest"):
+            remove(spark, f"{out}/{name}/batch_id={batch_id - 2}")
+        return counts.filter(done)
 
     return _per_batch(rows, out, work, trigger=trigger, reuse=True)
 
 
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Rows that came when their hour was closed, and rows without a time, with the batch that brought them."""
+    return spark.read.parquet(f"{out}/late")
+
+
+def retry_late(spark: SparkSession, out: str, ts: str = "updated_at") -> int:
+    """Counts late rows that no earlier retry took up; returns how many there were. A repeated retry adds nothing."""
+    done = max(numbered(spark, f"{out}/retried", "upto"), default=-1)
+    todo = [n for n in numbered(spark, f"{out}/late", "batch_id") if n > done]
+    if not todo:
+        return 0
+    rows = spark.read.parquet(*(f"{out}/late/batch_id={n}" for n in todo)).filter(F.col(ts).isNotNull())
+    counts = rows.groupBy(F.date_trunc("hour", F.col(ts)).alias("hour_start")).agg(F.count("*").alias("n"))
+    path = f"{out}/retried/upto={todo[-1]}"
+    counts.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def settled_hours(spark: SparkSession, out: str) -> DataFrame:
+    """Counts of closed hours, with the late rows that were retried."""
+    rows = stored(spark, out).select("hour_start", "n")
+    if numbered(spark, f"{out}/retried", "upto"):
+        rows = rows.unionByName(spark.read.parquet(f"{out}/retried").select("hour_start", "n"))
+    return rows.groupBy("hour_start").agg(F.sum("n").alias("n"))
+
+
 def activity_query(
     events: DataFrame, out: str, kind: str, width: str = "1 hour", slide: str | None = None, ts: str = "ts",
     delay: str = "2 hours", trigger: dict | None = None,
@@ -133,16 +224,20 @@ def activity_query(
     return _per_batch(flat, out, lambda batch, _: batch, "update", trigger)
 
 
-def share_count_query(
-    mentions: DataFrame, articles: DataFrame, brand: str, out: str, trigger: dict | None = None,
-) -> StreamingQuery:
-    """Running mention counts per URL, joined to the articles they name."""
-    counts = mention_urls(relevant_mentions(mentions, brand)).groupBy("mention_url").agg(F.count("*").alias("shares"))
+def share_table(spark: SparkSession, out: str, **sizes: int) -> FoldedTable:
+    """Mentions per URL."""
+    return FoldedTable(spark, f"{out}/table", "mention_url", lambda rows: rows.groupBy("mention_url").agg(F.sum("shares").alias("shares")), **sizes)
+
+
+def share_count_query(mentions: DataFrame, brand: str, out: str, trigger: dict | None = None, **sizes: int) -> StreamingQuery:
+    """Running mention counts per URL: each batch adds its own counts, nothing earlier is read for it."""
+    urls = mention_urls(relevant_mentions(mentions, brand)).select("mention_url", F.lit(1).cast("long").alias("shares"))
+    return _into_table(urls, share_table(mentions.sparkSession, out, **sizes), out, trigger)
 
-    def work(batch: DataFrame, batch_id: int) -> DataFrame:
-        return match_exact(batch, articles).select("mention_url", "id", "shares")
 
-    return _per_batch(counts, out, work, "update", trigger, reuse=True)
+def article_shares(spark: SparkSession, out: str, articles: DataFrame) -> DataFrame:
+    """The running counts of the URLs that are an article's."""
+    return match_exact(share_table(spark, out).read(), articles).select("mention_url", "id", "shares")
 
 
 def error_count_query(

@@ -356,7 +356,7 @@ def test_stream_state_and_counts_over_batches(spark, tmp_path):
     static = spark.read.parquet(str(folder))
     out = new_dir(spark, "state")
     jobs.queue_state_query(jobs.read_stream(spark, str(folder), files=1), out).awaitTermination()
-    assert rows(jobs.newest_version(jobs.stored(spark, out), "id"), "id", "status") == rows(queue.latest_status(static), "id", "status")
+    assert rows(jobs.queue_table(spark, out).read(), "id", "status") == rows(queue.latest_status(static), "id", "status")
 
 
 def test_late_rows_are_left_out_and_open_hours_wait(spark, tmp_path):
