@@ -1,7 +1,9 @@
 """Texts of a record batch as one byte buffer, with words and lines as offset arrays.
 
-Hashes are polynomials modulo 2**64 taken from running sums, so a whole batch is
-hashed with a few array passes and no Python loop over words.
+Hashes are polynomials taken from running sums, so a whole batch is hashed with a
+few array passes and no Python loop over words. `hashes` is modulo 2**64 and serves
+features, where a collision does no harm; what tells texts apart is `field_hashes`,
+modulo a prime, where no pair of texts collides for all bases.
 """
 
 from __future__ import annotations
@@ -87,11 +89,55 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0
     return mixed((total[ends] - total[starts]) * down[starts], kind)
 
 
+PRIME = (1 << 31) - 1
+SUM_BYTES = 1 << 24  # so many terms below 2**39 add up below 2**63
+_bases = np.random.default_rng(0x5EED).integers(1 << 16, PRIME - 1, (2, 2)).tolist()  # drawn at random once; per kind two
+_field: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _field_powers(kind: int, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo PRIME, at least n of them."""
+    have = _field.get((kind, lane))
+    if have is None or len(have[0]) < n:
+        base, size = _bases[kind][lane], max(n, 1 << 16)
+        tables = []
+        for step in (base, pow(base, -1, PRIME)):
+            p = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                p[done : done + more] = p[:more] * np.uint64(pow(step, done, PRIME)) % np.uint64(PRIME)
+                done += more
+            tables.append(p)
+        have = (tables[0], tables[1])
+        if n <= 4 * BATCH_BYTES:
+            _field[kind, lane] = have
+    return have
+
+
+def field_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """62-bit hash of each byte range, spread over 64 bits: two polynomials modulo a prime; `kind` 0 and 1 are independent."""
+    prime = np.uint64(PRIME)
+    out = np.zeros(len(starts), np.uint64)
+    letters = data.astype(np.uint64) + np.uint64(1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    for lane in (0, 1):
+        up, down = _field_powers(kind, lane, len(data) + 1)
+        for a in range(0, len(data), SUM_BYTES):
+            b = min(a + SUM_BYTES, len(data))
+            np.cumsum(letters[a:b] * up[a:b], out=total[a + 1 : b + 1])
+            if a:
+                total[a + 1 : b + 1] += total[a] % prime
+        v = (total[ends] % prime + prime - total[starts] % prime) % prime * down[starts] % prime
+        out = out << np.uint64(31) | v
+    return mixed(out, kind)
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (A-Z lower-cased, split at white space) and each text's first word (n+1 offsets)."""
     data, offsets = text_bytes(column)
     starts, ends, first = runs(~SPACE[data], offsets)
-    return hashes(LOWER[data], starts, ends), first
+    return field_hashes(LOWER[data], starts, ends), first
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pressgrid.llm.buffers import LOWER, SPACE, hashes, mixed, packed, slices, text_bytes
+from pressgrid.llm.buffers import LOWER, SPACE, field_hashes, mixed, packed, slices, text_bytes
 from pressgrid.session import settle
 
 SHARD_LINES = 1 << 20
@@ -57,7 +57,7 @@ def lines_of(column: pa.Array) -> tuple[np.ndarray, Lines]:
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     low = LOWER[data]
     return data, Lines(start, end, first, points[key_end] - points[key_start],
-                       hashes(low, key_start, key_end), hashes(low, key_start, key_end, 1))
+                       field_hashes(low, key_start, key_end), field_hashes(low, key_start, key_end, 1))
 
 
 class PerfectHash:
