@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions.urls import any_of, extract_urls, is_article_url, match_url
-from pressgrid.operators.lookup import lookup
+from pressgrid.operators.grams import contained
+from pressgrid.operators.lookup import lookup, salted_join
 from pressgrid.session import settle
 
 # Platforms a mention may come from (substring of its URL).
@@ -124,17 +125,40 @@ def _pieces(df: DataFrame, url: str, lengths: DataFrame) -> DataFrame:
     )
 
 
-def match_partial(counts: DataFrame, articles: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+def match_partial(counts: DataFrame, articles: DataFrame, exact: DataFrame | None = None, mode: str = "substring") -> DataFrame:
     """For mention URLs equal to no article: the article whose URL contains or is contained in the mention's.
 
-    The longest shared text wins, then the smallest id. URLs start with a
-    scheme (given to those without), so one lies in another exactly when it
-    starts the other or a URL embedded in it. Both directions become key joins
-    on such starts: work grows with the number of URLs, not with their pairs,
-    however many share a host.
+    The longest shared text wins, then the smallest id. `mode` 'substring' finds one URL anywhere in the
+    other (`contained`); 'start' only where it starts the other or a URL embedded in it.
     """
     exact = match_exact(counts, articles) if exact is None else exact
     open_counts = counts.join(exact.select("mention_url"), "mention_url", "left_anti")
+    if mode == "start":
+        return _match_starts(open_counts, articles)
+    if mode != "substring":
+        raise ValueError(f"mode must be 'substring' or 'start', not {mode!r}")
+    wanted = settle(open_counts)
+    # copies of an article are folded first; each URL is one row then
+    stored = settle(article_keys(articles).groupBy("article_url").agg(F.min("id").alias("id")))
+    inside = contained(stored, "article_url", wanted.select("mention_url"), "mention_url").select("mention_url", "article_url")
+    around = contained(wanted, "mention_url", stored, "article_url").select("mention_url", "article_url", "id")
+    # the shared text of the first direction is the whole mention, so it wins over the second
+    inner = salted_join(inside, stored, "article_url", "inner").groupBy("mention_url").agg(F.min_by(F.struct("id", "article_url"), "id").alias("_a"))
+    outer = around.groupBy("mention_url").agg(
+        F.max_by(F.struct("id", "article_url"), F.struct(F.length("article_url").alias("n"), (-F.col("id")).alias("i"))).alias("_b"))
+    return (
+        wanted.join(inner, "mention_url", "left").join(outer, "mention_url", "left")
+        .withColumn("_m", F.coalesce("_a", "_b")).filter(F.col("_m").isNotNull())
+        .select("mention_url", "shares", "_m.id", "_m.article_url")
+    )
+
+
+def _match_starts(open_counts: DataFrame, articles: DataFrame) -> DataFrame:
+    """URLs start with a scheme (given to those without), so one starts the other or a URL embedded in it.
+
+    Both directions are key joins on such starts: work grows with the number of
+    URLs, not with their pairs, however many share a host.
+    """
     keys = article_keys(articles)
     wanted = open_counts.select("mention_url", _with_scheme(F.col("mention_url")).alias("piece"))
     stored = keys.withColumn("piece", _with_scheme(F.col("article_url")))

@@ -11,9 +11,11 @@ from pressgrid import schemas
 from pressgrid.functions.dates import month_start, parse_date
 from pressgrid.functions.text import blank_to_null, mentions_brand
 from pressgrid.functions.urls import cleaned_url_keep_scheme, normalize_url
+from pressgrid.operators.grams import contained
 from pressgrid.operators.joins import existing_urls
-from pressgrid.operators.lookup import is_small, lookup
+from pressgrid.operators.lookup import lookup
 from pressgrid.operators.ordering import assign_ids, first_seen
+from pressgrid.session import settle
 
 SCRAPE_MIN = 50
 ERROR_LIMIT = 500
@@ -195,56 +197,33 @@ def count_deleted_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFr
     return copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select((F.col("n") - left.scalar()).alias("deleted"))
 
 
-PATTERN_LIST = 5_000
-
-
 def delete_by_pattern(articles: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows matching none of the shortened URLs, where '...' stands for anything (and _ for one character).
 
-    A URL shortened at its end is a prefix: URLs are cut to the lengths that occur among the
-    prefixes and meet them in a key join, so any number of prefixes is fine. So do patterns with
-    a wildcard elsewhere (a _ in the path, say) whose fixed start holds the host; they are then
-    tested in full. The few without a host are tested in the scan (while they are measured few),
-    their fixed parts first.
+    A pattern is filed under the rarest run of characters of its longest fixed part, wherever that
+    stands in it, and URLs that hold the run are tested in full; so any number of patterns of
+    any form is fine. Patterns without a fixed part speak of lengths only: one number for those with '...',
+    and at most one per length for the others.
     """
-    wild = patterns.select(F.replace("url", F.lit("..."), F.lit("%")).alias("_like")).distinct() \
-        .withColumn("_stem", F.regexp_extract("_like", r"^[^%_]*", 0))
-    is_prefix = F.col("_like") == F.concat("_stem", F.lit("%"))
-    is_exact = F.col("_like") == F.col("_stem")
-    urls = articles.select("url").filter(F.col("url").isNotNull())
-    doomed = lookup(_starts(urls, wild.filter(is_prefix)), wild.filter(is_prefix).select("_stem"), "_stem", "left_semi") \
-        .select("url").unionByName(wild.filter(is_exact).select(F.col("_like").alias("url")))
-    other = wild.filter(~is_prefix & ~is_exact)
-    # a fixed start that holds a whole host meets few URLs: the key join, then the full test
-    anchored = other.filter(F.col("_stem").rlike("^[a-z]+://[^/]+/"))
-    doomed = doomed.unionByName(_wild_hits(urls, anchored))
-    loose = other.join(anchored.select("_like"), "_like", "left_anti")
-    if is_small(loose, PATTERN_LIST):
-        longest = F.aggregate(F.split("_like", "[%_]"), F.lit(""), lambda best, part: F.when(
-            F.length(part) > F.length(best), part).otherwise(best))
-        listed = loose.agg(F.collect_list(F.struct("_stem", longest.alias("part"), "_like"))).scalar()
-        hit = "exists(_list, p -> startswith(u, p._stem) AND contains(u, p.part) AND u LIKE p._like)"
-        spared = F.expr(f"NOT coalesce(transform(array(url), u -> {hit})[0], false)")
-        articles = articles.withColumn("_list", listed).filter(spared).drop("_list")
-    else:
-        doomed = doomed.unionByName(_wild_hits(urls, loose))
+    wild = patterns.filter("url IS NOT NULL").select(F.replace("url", F.lit("..."), F.lit("%")).alias("_like")).distinct()
+    longest = F.aggregate(F.split("_like", "[%_]"), F.lit(""), lambda best, part: F.when(
+        F.length(part) > F.length(best), part).otherwise(best))
+    wild = settle(wild.withColumn("_part", longest))
+    other = wild.filter(F.col("_like") != F.col("_part"))
+    urls = articles.select("url").filter(F.col("url").isNotNull()).distinct()
+    matches = F.expr(r"url LIKE _like ESCAPE '\u0001'")  # a backslash stands for itself
+    doomed = wild.filter(F.col("_like") == F.col("_part")).select(F.col("_like").alias("url")).unionByName(
+        contained(urls, "url", other, "_part").filter(matches).select("url"))
+    # nothing but wildcards: so many characters, or at least so many
+    bare = other.filter(F.col("_part") == "")
+    count, open_ = F.length(F.replace("_like", F.lit("%"), F.lit(""))), F.col("_like").contains("%")
+    sizes = bare.agg(F.min(F.when(open_, count)).alias("least"), F.collect_set(F.when(~open_, count)).alias("sizes")).first()
+    if sizes["least"] is not None or sizes["sizes"]:
+        long = F.lit(False) if sizes["least"] is None else F.length("url") >= sizes["least"]
+        doomed = doomed.unionByName(urls.filter(long | F.length("url").isin(sizes["sizes"])))
     return _without(articles, doomed.distinct(), "url")
 
 
-def _wild_hits(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """URLs that share a pattern's fixed start and match it."""
-    return _starts(urls.distinct(), patterns).join(patterns, "_stem").filter(F.expr("url LIKE _like")).select("url")
-
-
-def _starts(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The beginnings of each URL that are as long as some pattern's fixed start."""
-    lengths = patterns.agg(F.collect_set(F.length("_stem"))).scalar()  # at most one per URL length
-    return (
-        urls.withColumn("_sizes", lengths).withColumn("_size", F.explode("_sizes"))
-        .filter(F.col("_size") <= F.length("url")).select("url", F.substr("url", F.lit(1), F.col("_size")).alias("_stem"))
-    )
-
-
 def delete_null_ids(articles: DataFrame) -> DataFrame:
     return articles.filter(F.col("id").isNotNull())
 
