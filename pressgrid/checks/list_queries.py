@@ -355,4 +355,4 @@ def _(spark, d):
 SELECT url, updated_at, (row_number() OVER (ORDER BY updated_at, url) - 1) // 100 AS batch_no FROM articles""", text="updated_at")
 def _(spark, d):
     rows = view(spark, d, "articles").select("url", "updated_at")
-    return batches(rows, 100, F.asc("updated_at"), F.asc("url"))
+    return batches(rows, 100, F.asc("updated_at"), F.asc("url"), by=["updated_at", "url"])

@@ -49,7 +49,7 @@ def _(spark, d):
 SELECT pos, url, (SELECT max(id) FROM articles) + row_number() OVER (ORDER BY pos) AS id FROM submitted""")
 def _(spark, d):
     submitted, articles = load(spark, d, "submitted", "articles")
-    return ordering.assign_ids(submitted, articles, F.col("pos"))
+    return ordering.assign_ids(submitted, articles, F.col("pos"), by=["pos"])
 
 
 @check("fill_missing_ids", "articles", """
@@ -62,7 +62,7 @@ def _(spark, d):
 @check("stagger_timestamps", "submitted", f"""
 SELECT pos, url, {AS_OF} + to_seconds(CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT)) AS updated_at FROM submitted""", text="updated_at")
 def _(spark, d):
-    return ordering.stagger_timestamps(view(spark, d, "submitted"), processed(), F.col("pos"))
+    return ordering.stagger_timestamps(view(spark, d, "submitted"), processed(), F.col("pos"), by=["pos"])
 
 
 @check("latest_per_url", "articles", """

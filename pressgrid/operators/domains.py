@@ -61,5 +61,5 @@ def impute_domains(new: DataFrame, media: DataFrame) -> DataFrame:
 
 def upsert_domains(new: DataFrame, media: DataFrame) -> DataFrame:
     """The dimension plus imputed rows for domains it lacks, numbered by domain."""
-    added = assign_ids(impute_domains(new, media), media, F.col("domain"))
+    added = assign_ids(impute_domains(new, media), media, F.col("domain"), by=["domain"])
     return media.unionByName(added, allowMissingColumns=True)

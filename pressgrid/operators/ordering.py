@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pressgrid.operators.lookup import lookup
 from pressgrid.session import settle
 
 _PLACE_BITS = 33  # monotonically_increasing_id: partition number above, place below
@@ -64,30 +65,49 @@ def rank_within(
     )
 
 
-def assign_ids(new_rows: DataFrame, table: DataFrame, *order: Column, name: str = "id") -> DataFrame:
-    """MAX(id)+1, +2, … for new rows in the given order."""
+def number_by(df: DataFrame, by: list[str], *order: Column, name: str, start: int = 0) -> DataFrame:
+    """As `number_rows`, but only the columns `by`, which the order reads, and a hash of the row are sorted and stored.
+
+    The numbers then go back to the rows by these: to the scan when they are measured few, else by a
+    key join. So texts are neither sorted nor written. Rows equal in `by` and in their hash share a
+    range of numbers; those few are ranked within it.
+    """
+    fields = [F.col(c) for c in by]
+    keyed = df.withColumn("_same", F.struct(*fields, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")))
+    numbers = number_rows(keyed.select("_same", *fields), *order, F.col("_same._row"), name="_at", start=start)
+    places = settle(numbers.groupBy("_same").agg(F.min("_at").alias(name), F.count("*").alias("_copies")))
+    found = lookup(keyed, places, "_same", "inner", spread=["_same"])
+    once = found.filter("_copies = 1").select(*df.columns, name)
+    if places.filter("_copies > 1").isEmpty():
+        return once
+    copies = rank_within(found.filter("_copies > 1"), "_same", rank="_rank", size="_size")
+    return once.unionByName(copies.withColumn(name, F.col(name) + F.col("_rank") - 1).select(*df.columns, name))
+
+
+def assign_ids(new_rows: DataFrame, table: DataFrame, *order: Column, by: list[str], name: str = "id") -> DataFrame:
+    """MAX(id)+1, +2, … for new rows in the given order, which reads the columns `by`."""
     top = table.agg(F.coalesce(F.max(name), F.lit(0)).alias("m")).scalar()
-    return number_rows(new_rows, *order, name="_n").withColumn(name, F.col("_n") + top).drop("_n")
+    return number_by(new_rows, by, *order, name="_n", start=1).withColumn(name, F.col("_n") + top).drop("_n")
 
 
 def fill_missing_ids(table: DataFrame, name: str = "id") -> DataFrame:
     """Rows without an id get the next free ones, in (updated_at, url) order."""
     fresh = assign_ids(
         table.filter(F.col(name).isNull()).drop(name), table,
-        F.asc_nulls_first("updated_at"), F.asc_nulls_first("url"), name=name,
+        F.asc_nulls_first("updated_at"), F.asc_nulls_first("url"), by=["updated_at", "url"], name=name,
     )
     return table.filter(F.col(name).isNotNull()).unionByName(fresh.select(*table.columns))
 
 
-def stagger_timestamps(df: DataFrame, base: Column, *order: Column, name: str = "updated_at") -> DataFrame:
+def stagger_timestamps(df: DataFrame, base: Column, *order: Column, by: list[str], name: str = "updated_at") -> DataFrame:
     """base, base + 1 s, base + 2 s, … in the given order."""
-    numbered = number_rows(df, *order, name="_n", start=0)
+    numbered = number_by(df, by, *order, name="_n")
     return numbered.withColumn(name, base + F.make_interval(secs=F.col("_n"))).drop("_n")
 
 
-def batches(df: DataFrame, size: int, *order: Column, name: str = "batch_no") -> DataFrame:
+def batches(df: DataFrame, size: int, *order: Column, by: list[str], name: str = "batch_no") -> DataFrame:
     """Number of the fixed-size batch each row falls into (reporting only; work is cut by partitions)."""
-    return number_rows(df, *order, name="_n", start=0).withColumn(
+    return number_by(df, by, *order, name="_n").withColumn(
         name, F.floor(F.col("_n") / size).cast("long")
     ).drop("_n")
 

@@ -50,7 +50,7 @@ def insert_if_absent(records: DataFrame, articles: DataFrame, as_of: Column, pos
     """The table plus the records whose normalised URL it lacks, numbered on from its largest id."""
     normal = records.withColumn("url", normalize_url(F.col("url")))
     fresh = existing_urls(first_seen(normal, "url", pos), articles, "left_anti")
-    added = assign_ids(fresh, articles, F.col(pos)).drop(pos)
+    added = assign_ids(fresh, articles, F.col(pos), by=[pos]).drop(pos)
     added = added.withColumns({"updated_at": as_of, "data_ingestion": F.lit(True)})
     return articles.unionByName(added, allowMissingColumns=True).select(*articles.columns)
 
@@ -259,7 +259,7 @@ def add_company(companies: DataFrame, new: DataFrame, as_of: Column, pos: str =
         return F.coalesce(blank_to_null(F.trim(c)), F.lit("Unknown"))
 
     named = new.filter(F.trim("name") != "")
-    rows = assign_ids(named, companies, F.col(pos)).select(
+    rows = assign_ids(named, companies, F.col(pos), by=[pos]).select(
         "id", as_of.alias("created_at"), F.trim("name").alias("portco_name"), known("location").alias("portco_location"),
         known("deal_lead").alias("portco_deal_lead"), F.lit("false").alias("ai"),
         F.substr(F.sha2(F.concat_ws("|", F.trim("name"), "id"), 256), F.lit(1), F.lit(8)).alias("sync_key"),

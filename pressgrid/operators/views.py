@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from pressgrid.functions.text import PLACEHOLDER, as_text, shorten, yes_no
 from pressgrid.functions.urls import is_paywalled
@@ -157,25 +157,38 @@ def search_articles(articles: DataFrame, term: str, fields: list[str] | None = N
 
 
 def page(df: DataFrame, number: int, size: int = 50, by: str = "updated_at", tie: str = "url") -> DataFrame:
-    """One page (from 0) with the total and the number of pages on every row."""
-    total = df.agg(F.count("*")).scalar()
-    return (
-        df.orderBy(F.desc_nulls_last(by), F.asc_nulls_first(tie)).offset(number * size).limit(size)
-        .withColumn("total", total)
-        .withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
-    )
-
-
-def page_after(df: DataFrame, after: tuple | None, size: int = 50, by: str = "updated_at", tie: str = "url") -> DataFrame:
-    """Keyset form for deep pages: rows following the last (time, tie) seen; cost does not grow with depth."""
+    """One page (from 0) with the total and the number of pages on every row.
+
+    Rows are found once: they are counted while the page is picked, and only the page is kept.
+    """
+    counted = Observation()
+    shown = df.observe(counted, F.count("*").alias("n")).orderBy(F.desc_nulls_last(by), F.asc_nulls_first(tie)).limit((number + 1) * size)
+    rows = shown.offset(number * size).collect()  # `size` rows at most
+    total = counted.get["n"]
+    return df.sparkSession.createDataFrame(rows, df.schema).withColumns({
+        "total": F.lit(total).cast("long"), "pages": F.lit(-(-total // size)).cast("long")})
+
+
+def page_after(
+    df: DataFrame, after: tuple | None, size: int = 50, by: str = "updated_at", tie: str = "url", unique: str | None = "id",
+) -> DataFrame:
+    """Keyset form for deep pages: rows following the last (time, tie, id) seen; cost does not grow with depth.
+
+    Newest first, rows without a time last; then by tie and id, null first. A cursor of
+    (time, tie) alone goes on behind all rows of that time and tie.
+    """
+    keys = [by, tie] + ([unique] if unique else [])
     if after is not None:
-        last = F.col(tie) > F.lit(after[1])
-        if after[0] is None:  # within the rows without a time
-            df = df.filter(F.col(by).isNull() & last)
-        else:
-            when = F.lit(after[0])
-            df = df.filter((F.col(by) < when) | ((F.col(by) == when) & last) | F.col(by).isNull())
-    return newest(df, size, by, tie)
+        def behind(column: str, value) -> Column:
+            return F.col(column).isNotNull() if value is None else F.col(column) > F.lit(value)
+
+        following = F.lit(False)
+        for column, value in reversed(list(zip(keys, after))[1:]):
+            following = behind(column, value) | (F.col(column).eqNullSafe(F.lit(value)) & following)
+        when = F.lit(after[0])
+        older = F.lit(False) if after[0] is None else (F.col(by) < when) | F.col(by).isNull()
+        df = df.filter(older | (F.col(by).eqNullSafe(when) & following))
+    return df.orderBy(F.desc_nulls_last(by), *(F.asc_nulls_first(c) for c in keys[1:])).limit(size)
 
 
 def point_lookup(articles: DataFrame, url: str | None = None, row_id: int | None = None, id_range: tuple | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pressgrid.functions.pages import extract_pages
 from pressgrid.operators.joins import new_rows_only
 from pressgrid.operators.lookup import lookup, salted_join
 from pressgrid.operators.mentions import add_shares, match_mentions, mention_urls, relevant_mentions, url_counts
-from pressgrid.operators.ordering import number_rows
+from pressgrid.operators.ordering import number_by
 from pressgrid.operators.transforms import ingest_row_build
 from pressgrid.plans.enrich import enrich_backlog
 from pressgrid.schemas import conform
@@ -35,7 +35,7 @@ def intake_rows(
         F.col("domain").alias("page_domain"), F.col("content").alias("page_content"))
     joined = salted_join(fresh, fields, "url")
     top = articles.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = number_rows(joined, F.col("pos"), name="_n", start=0)
+    numbered = number_by(joined, ["pos"], F.col("pos"), name="_n")
     built = ingest_row_build(numbered.withColumn("id", F.col("_n")), brand, as_of)
     return built.withColumns({
         "updated_at": as_of + F.make_interval(secs=F.col("id")),

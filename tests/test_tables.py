@@ -74,7 +74,7 @@ def test_rank_within_hot_and_null_keys(spark):
 def test_ids_of_an_empty_table(spark):
     table = conform(spark.createDataFrame([], "id long, url string"))
     new = spark.createDataFrame([(2, "b"), (1, "a")], "pos long, url string")
-    assert rows(ordering.assign_ids(new, table, F.col("pos")), "url", "id") == [("a", 1), ("b", 2)]
+    assert rows(ordering.assign_ids(new, table, F.col("pos"), by=["pos"]), "url", "id") == [("a", 1), ("b", 2)]
     assert quality.max_id(table).first()[0] == 0
 
 
