@@ -367,6 +367,16 @@ def _(spark, d):
     return tables.read_or_empty(spark, path, schemas.ARTICLES).select("id", "url", "updated_at", "month")
 
 
+@check("append_batches", "tracked", "SELECT id, url, updated_at, month FROM tracked", text="id updated_at month")
+def _(spark, d):
+    path = new_dir(spark, "articles")
+    rows = conform(view(spark, d, "tracked"))
+    first = F.col("social_shares_count") < 7
+    for name, part in (("first", rows.filter(first)), ("rest", rows.filter(~first)), ("first", rows.filter(first))):  # one is sent twice
+        tables.append_batch(part, path, name, f"{path}-rejects")
+    return tables.read_batches(spark, path, schemas.ARTICLES).select("id", "url", "updated_at", "month")
+
+
 @check("append_rejects", "submitted", """
 SELECT trim(url) AS url, 'Invalid URL format' AS errors FROM submitted WHERE NOT regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+')""")
 def _(spark, d):
@@ -578,6 +588,23 @@ def _(spark, d):
     return done.select(*FILLED_COLUMNS)
 
 
+@check("bulk_ingest_file", "submitted tracked media_data", _row_view("built") + f"""
+, base AS (SELECT * REPLACE ({norm_sql('url')} AS url) FROM tracked)
+, fresh AS (SELECT *, row_number() OVER (ORDER BY pos) AS rn FROM built WHERE url <> '' AND {norm_sql('url')} NOT IN (SELECT url FROM base))
+, both_rows AS (SELECT * FROM base UNION ALL BY NAME
+    SELECT (SELECT max(id) FROM base) + rn AS id, url, title, publish_date, domain, content, {AS_OF} + to_seconds(CAST(rn - 1 AS BIGINT)) AS updated_at,
+      TRUE AS data_ingestion, tagged_brand, matched_portcos, cleaned_url FROM fresh WHERE regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+'))
+""" + BACKLOG.replace("SOURCE", "both_rows") + "SELECT * FROM looked", text=TIMES)
+def _(spark, d):
+    path = new_dir(spark, "ingest")
+    rows, pages, media = load(spark, d, "tracked", "pages", "media_data")
+    tables.append_batch(conform(normal_articles(rows)), f"{path}/articles", "before")
+    _export(spark, d).withColumnRenamed("pos", "line").write.option("header", True).csv(f"{path}/export")
+    for _ in range(2):  # the job is run again and adds nothing
+        done = intake.ingest_file(spark, f"{path}/export", f"{path}/articles", pages, media, BRAND, processed(), "export-1", f"{path}/rejects")
+    return done.select(*FILLED_COLUMNS)
+
+
 @check("sync_mentions", "mentions articles", MATCHES + """
 , added AS (SELECT id, sum(shares) AS n FROM matches GROUP BY 1)
 SELECT a.id, a.url, CAST(a.social_shares_count + coalesce(added.n, 0) AS BIGINT) AS social_shares_count FROM articles a LEFT JOIN added ON a.id = added.id""", text="id")

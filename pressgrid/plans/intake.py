@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressgrid.functions.pages import extract_pages
 from pressgrid.operators.joins import new_rows_only
@@ -11,8 +11,10 @@ from pressgrid.operators.mentions import add_shares, match_mentions, mention_url
 from pressgrid.operators.ordering import number_by
 from pressgrid.operators.transforms import ingest_row_build
 from pressgrid.plans.enrich import enrich_backlog
-from pressgrid.schemas import conform
+from pressgrid.schemas import ARTICLES, conform
 from pressgrid.session import settle
+from pressgrid.sources.files import HEADERS, read_delimited
+from pressgrid.sources.tables import append_batch, read_batches
 
 
 def intake_rows(
@@ -52,6 +54,22 @@ def bulk_ingest(
     return enrich_backlog(table.unionByName(added), media, brand, as_of)
 
 
+def ingest_file(
+    spark: SparkSession, file: str, path: str, pages: DataFrame, media: DataFrame, brand: str, as_of: Column, batch: str,
+    rejects: str | None = None,
+) -> DataFrame:
+    """An export file into the stored table at `path`, read back and enriched.
+
+    The rows of the file that the table lacks are appended as one batch, so a
+    job that is run again adds nothing. Rows go in the order of the file's `line` column where it has one.
+    """
+    table = read_batches(spark, path, ARTICLES)
+    lines = read_delimited(spark, file, HEADERS | {"line": ["line"]})
+    export = lines.withColumn("pos", F.coalesce(F.expr("try_cast(line AS BIGINT)"), F.col("pos"))).drop("line")
+    append_batch(conform(intake_rows(export, table, pages, brand, as_of)), path, batch, rejects)
+    return enrich_backlog(read_batches(spark, path, ARTICLES), media, brand, as_of)
+
+
 def sync_mentions(
     mentions: DataFrame, articles: DataFrame, brand: str, as_of: Column, **options,
 ) -> tuple[DataFrame, DataFrame]:

@@ -33,3 +33,14 @@ def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
 def remove(spark: SparkSession, path: str) -> None:
     store, target = _at(spark, path)
     store.delete(target, True)
+
+
+def existing(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern with * in it."""
+    store, target = _at(spark, pattern)
+    return [f.getPath().toString() for f in store.globStatus(target) or []]
+
+
+def remove_matching(spark: SparkSession, pattern: str) -> None:
+    for path in existing(spark, pattern):
+        remove(spark, path)
