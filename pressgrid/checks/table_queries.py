@@ -493,6 +493,35 @@ def _(spark, d):
     return run_summary(enrich.enrichment_log(enriched(spark, d), F.lit("run-1"), processed(), processed()))
 
 
+# every fifth number of shares stands for a row that the KEYWORDS step breaks at: its flags stay, the other steps are done
+BROKEN = "social_shares_count % 5 = 3"
+LONG_ENOUGH = "length(trim(coalesce(e.content, ''))) >= 20"
+
+
+def broken(spark, d):
+    return enrich.enrich_with_errors(
+        view(spark, d, "tracked"), dictionaries(spark, d), BRAND, processed(), kill_pill=FAMILY_ONE, unwanted=FAMILY_TWO,
+        fails={"KEYWORDS": F.when(F.expr(BROKEN), "broken row")})
+
+
+@check("enrich_step_errors", ENRICH_VIEWS, ENRICHED + f"""
+SELECT e.id, e.url, {", ".join(f"CASE WHEN {LONG_ENOUGH} AND {BROKEN} THEN t.{c} ELSE e.{c} END AS {c}" for c in ("kill_pill", "kill_pill_count", "unwanted"))},
+  e.country, e.matched_portcos, CASE WHEN {LONG_ENOUGH} AND {BROKEN} THEN 'KEYWORDS: broken row' ELSE '' END AS step_errors
+FROM enriched e JOIN tracked t ON t.updated_at = e.k""", text="kill_pill kill_pill_count unwanted")
+def _(spark, d):
+    found = F.array_join(F.transform("step_errors", lambda e: F.concat_ws(": ", e["step"], e["message"])), "; ")
+    return broken(spark, d).select("id", "url", "kill_pill", "kill_pill_count", "unwanted", "country", "matched_portcos", found.alias("step_errors"))
+
+
+@check("write_log_errors", ENRICH_VIEWS, ENRICHED + f"""
+, steps AS (SELECT social_shares_count, unnest(CASE WHEN {LONG_ENOUGH} THEN ['START', 'ASSIGN_ID', 'NORMALIZE', 'GUARD_CONTENT', 'ENRICH_SPOKES', 'ENRICH_INVESTORS',
+    'ENRICH_REPORTERS', 'ENRICH_PORTCOS', 'KEYWORDS', 'MEDIA_META', 'DONE'] ELSE ['START', 'ASSIGN_ID', 'NORMALIZE', 'GUARD_CONTENT', 'SKIP'] END) AS step
+  FROM enriched e JOIN tracked t ON t.updated_at = e.k)
+SELECT step, CASE WHEN step = 'SKIP' THEN 'WARN' WHEN step = 'KEYWORDS' AND {BROKEN} THEN 'ERROR' ELSE 'INFO' END AS severity, count(*) AS n FROM steps GROUP BY 1, 2""")
+def _(spark, d):
+    return run_summary(enrich.enrichment_log(broken(spark, d), F.lit("run-1"), processed(), processed()))
+
+
 @check("audit_sink", ENRICH_VIEWS, ENRICHED + """
 SELECT url, 'ASSIGN_ID' AS step, 'INFO' AS severity, 'resolved id' AS message, '{"id":' || CAST(id AS VARCHAR) || '}' AS context FROM enriched
 UNION ALL SELECT url, 'SKIP', 'WARN', 'content too short (<20)', '{"id":' || CAST(id AS VARCHAR) || '}' FROM enriched WHERE length(trim(coalesce(content, ''))) < 20""")

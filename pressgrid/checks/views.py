@@ -113,7 +113,7 @@ FROM {events}
 SELECT conv_id, turn,
   CASE WHEN conv_id % 9 = 0 THEN 'https://news.example.org/' ELSE 'https://x.com/u/' END || CAST(conv_id * 100 + turn AS STRING) AS url,
   CASE WHEN turn % 4 = 3 THEN 'moose seen' WHEN turn % 4 = 2 THEN 'plain words' ELSE 'founder raises seed' END AS title,
-  CASE WHEN turn % 2 = 0 THEN '' ELSE role || ': ' || text END || ' see https://' || CASE WHEN turn % 2 = 0 THEN 'www.' ELSE '' END || 'src'
+  role || ': ' || text || ' see https://' || CASE WHEN turn % 2 = 0 THEN 'www.' ELSE '' END || 'src'
     || CAST((conv_id * 3 + turn) % 20 AS STRING) || '.example.com/' || CAST(conv_id * 3 + turn AS STRING) || CASE WHEN conv_id % 6 = 0 THEN '/more' ELSE '?s=1' END || ' and https://t.co/abc' AS summary,
   CASE WHEN conv_id % 15 = 0 THEN 'Thble Team' ELSE 'user' || CAST(conv_id AS STRING) END AS author_name,
   'https://x.com/user' || CAST(conv_id AS STRING) AS author_url
