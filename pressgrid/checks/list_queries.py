@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from pressgrid.checks.registry import check, latest, load
 from pressgrid.checks.views import view
-from pressgrid.operators import quality, queue, views
+from pressgrid.operators import quality, queue, search_index, views
 from pressgrid.operators.ordering import batches
 from pressgrid.schemas import REQUIRED_FIELDS, conform
+from pressgrid.session import new_dir
 
 NOW = "(SELECT max(updated_at) FROM articles)"
 NEWEST = "ORDER BY updated_at DESC NULLS LAST, url ASC NULLS FIRST"
@@ -166,6 +167,16 @@ def _(spark, d):
     return views.search_articles(view(spark, d, "tracked"), " That and ").select("id", "url", "title", "updated_at")
 
 
+@check("search_stored", "tracked", """
+SELECT id, url, title, updated_at FROM tracked
+WHERE CAST(id AS VARCHAR) LIKE '%src7.e%/1_7%' OR url ILIKE '%src7.e%/1_7%' OR title ILIKE '%src7.e%/1_7%'
+  OR matched_portcos ILIKE '%src7.e%/1_7%' OR content ILIKE '%src7.e%/1_7%'""", text="id updated_at")
+def _(spark, d):
+    path = new_dir(spark, "search")
+    search_index.index_months(conform(view(spark, d, "tracked")), path, block_rows=500)
+    return search_index.search_stored(spark, path, "SRC7.e%/1_7").select("id", "url", "title", "updated_at")
+
+
 @check("point_lookup", "articles", """
 SELECT id, url, title FROM articles WHERE url = 'https://src3.example.com/3' OR id = 17 OR id BETWEEN 40 AND 59""", text="id")
 def _(spark, d):
