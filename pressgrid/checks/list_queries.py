@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from pressgrid.checks.registry import check, latest, load
 from pressgrid.checks.views import view
-from pressgrid.operators import quality, queue, search_index, views
+from pressgrid.operators import monthly, quality, queue, search_index, views
 from pressgrid.operators.ordering import batches
 from pressgrid.schemas import REQUIRED_FIELDS, conform
 from pressgrid.session import new_dir
+from pressgrid.sources.tables import append_articles, swap_months
 
 NOW = "(SELECT max(updated_at) FROM articles)"
 NEWEST = "ORDER BY updated_at DESC NULLS LAST, url ASC NULLS FIRST"
@@ -253,6 +254,37 @@ def _(spark, d):
     return quality.completeness_report(conform(view(spark, d, "tracked")))
 
 
+MONTHLY = ", monthly AS (SELECT * REPLACE (CAST(date_trunc('month', publish_date) AS DATE) AS month) FROM tracked)\n"
+
+
+def stored_months(spark, d) -> tuple[str, str]:
+    """The articles stored by month of publication, and their partial results; one month is changed and counted anew."""
+    path = new_dir(spark, "monthly")
+    rows = conform(view(spark, d, "tracked").withColumn("month", F.trunc("publish_date", "month")))
+    march = F.coalesce(F.col("month") == F.lit("2024-03-01").cast("date"), F.lit(False))
+    append_articles(rows.withColumn("content", F.when(~march, F.col("content"))), path)
+    monthly.refresh_months(spark, path, f"{path}-stats")
+    swap_months(rows.filter(march), path)
+    assert len(monthly.refresh_months(spark, path, f"{path}-stats")) <= 1
+    return path, f"{path}-stats"
+
+
+@check("stored_completeness_counts", "tracked", f"{MONTHLY}SELECT count(*) AS total, {_COUNTS} FROM monthly")
+def _(spark, d):
+    return monthly.stored_completeness_counts(spark, stored_months(spark, d)[1])
+
+
+@check("stored_completeness_report", "tracked", MONTHLY + report_sql("monthly"))
+def _(spark, d):
+    return monthly.stored_completeness_report(spark, stored_months(spark, d)[1])
+
+
+@check("stored_top_domains", "tracked", """
+SELECT domain, count(*) AS articles FROM tracked WHERE domain IS NOT NULL GROUP BY domain ORDER BY 2 DESC, 1 LIMIT 100""")
+def _(spark, d):
+    return monthly.stored_top_domains(spark, stored_months(spark, d)[1], 100)
+
+
 @check("mark_complete", "tracked", f"SELECT id, url, updated_at, ({COMPLETE}) AS is_complete FROM tracked", text="id updated_at")
 def _(spark, d):
     return quality.mark_complete(conform(view(spark, d, "tracked"))).select("id", "url", "updated_at", "is_complete")

@@ -13,7 +13,7 @@ from pressgrid.checks.text_queries import (
     keep_scheme_sql, known_domain_sql, norm_sql, processed, snippet_sql, word_sql,
 )
 from pressgrid.checks.views import BRAND, FAMILY_ONE, FAMILY_TWO, OWN_SITE, view
-from pressgrid.operators import dedupe, ordering, queue, transforms
+from pressgrid.operators import dedupe, monthly, ordering, queue, transforms
 from pressgrid.operators.audit import run_summary
 from pressgrid.plans import enrich, intake
 from pressgrid.schemas import conform
@@ -214,6 +214,21 @@ def _(spark, d):
     return transforms.edit_rows(rows, edits, processed()).select("id", "url", "matched_portcos", "updated_at")
 
 
+@check("change_stored_rows", "tracked", f"""
+, e AS (SELECT id, CASE WHEN id % 2 = 0 THEN matched_portcos ELSE 'edited' END AS p FROM tracked WHERE id % 3 = 0 AND publish_date >= DATE '2024-06-01')
+SELECT t.id, t.url, CASE WHEN e.id IS NOT NULL THEN p ELSE matched_portcos END AS matched_portcos,
+  CASE WHEN e.id IS NOT NULL AND p IS DISTINCT FROM matched_portcos THEN {AS_OF} ELSE updated_at END AS updated_at
+FROM tracked t LEFT JOIN e ON t.id = e.id""", text="id updated_at")
+def _(spark, d):
+    path = new_dir(spark, "monthly")
+    rows = conform(view(spark, d, "tracked").withColumn("month", F.trunc("publish_date", "month")))
+    tables.append_articles(rows, path)
+    edited = F.when(F.col("id") % 2 == 0, F.col("matched_portcos")).otherwise("edited")
+    edits = rows.filter((F.col("id") % 3 == 0) & (F.col("publish_date") >= "2024-06-01")).withColumn("matched_portcos", edited)
+    monthly.change_rows(spark, path, f"{path}-stats", edits, lambda part: transforms.edit_rows(part, edits, processed()))
+    return spark.read.schema(schemas.ARTICLES).parquet(path).select("id", "url", "matched_portcos", "updated_at")
+
+
 @check("bulk_set", "tracked bodies", """
 SELECT id, url, CASE WHEN id IN (SELECT id FROM bodies) THEN 'New Person' ELSE matched_spokespeople END AS matched_spokespeople FROM tracked""", text="id")
 def _(spark, d):

@@ -34,13 +34,18 @@ def fully_complete(articles: DataFrame) -> DataFrame:
 
 def completeness_report(articles: DataFrame) -> DataFrame:
     """Long form: field, type, filled, missing, rounded per cent (0 for an empty table)."""
+    return report_of(completeness_counts(articles))
+
+
+def report_of(counts: DataFrame) -> DataFrame:
+    """The long form of one row of `completeness_counts`."""
     rows = F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(n).alias("field"), F.lit(t).alias("type"),
                  F.col(f"has_{n}").alias("filled"))
         for i, (n, t, _) in enumerate(REQUIRED_FIELDS, 1)
     ]))
     percent = F.coalesce(F.round(F.try_divide(F.col("filled") * 100.0, F.col("total"))), F.lit(0.0))
-    return completeness_counts(articles).select("total", rows.alias("r")).select(
+    return counts.select("total", rows.alias("r")).select(
         "r.*", "total").select(
         "position", "field", "type", "filled", (F.col("total") - F.col("filled")).alias("missing"),
         percent.cast("long").alias("percent"))

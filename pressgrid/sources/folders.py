@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 
 
@@ -44,3 +46,20 @@ def existing(spark: SparkSession, pattern: str) -> list[str]:
 def remove_matching(spark: SparkSession, pattern: str) -> None:
     for path in existing(spark, pattern):
         remove(spark, path)
+
+
+def fingerprints(spark: SparkSession, path: str, name: str) -> dict[str, str]:
+    """Per `name=…` folder a digest of its files' names, sizes and times; one entry per folder."""
+    store, target = _at(spark, path)
+    if not store.exists(target):
+        return {}
+    out = {}
+    for folder in store.listStatus(target):
+        label = folder.getPath().getName()
+        if folder.isDirectory() and label.startswith(f"{name}="):
+            files, found = store.listFiles(folder.getPath(), True), []
+            while files.hasNext():
+                f = files.next()
+                found.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+            out[label.removeprefix(f"{name}=")] = hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+    return out
