@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pressgrid.llm.buffers import LOWER, SPACE, field_hashes, mixed, packed, slices, text_bytes
+from pressgrid.llm.names import unused
 from pressgrid.session import settle
 
 SHARD_LINES = 1 << 20
@@ -225,13 +226,13 @@ def _probe(packets: pa.Table, index: pa.Table) -> pa.Table:
     return pa.table({"doc_id": np.concatenate(docs) if docs else np.zeros(0, np.int64), "lost": pa.array(lost, pa.binary())})
 
 
-def _rewrite(names: list[str], least: int):
+def _rewrite(names: list[str], least: int, found: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in slices(b)):
             data, lines = lines_of(batch.column("text"))
             texts, n_dropped = [], []
             raw = data.tobytes()
-            for d, lost in enumerate(batch.column("_lost").to_pylist()):
+            for d, lost in enumerate(batch.column(found).to_pylist()):
                 a, b = lines.first[d], lines.first[d + 1]
                 if not lost:
                     texts.append(raw[lines.start[a] : lines.end[b - 1]])
@@ -283,17 +284,18 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     columns called n_lines and n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    doc, found = unused(docs, "_doc", "_lost")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = line_index(narrow, least)
     packets, index = probe_packets(narrow, index, least)
     lost = (
         packets.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt"))
         .applyInArrow(_probe, "doc_id long, lost binary")
-        .groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("lost").alias("_lost"))
+        .groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("lost").alias(found))
     )
     names = [*docs.columns, "n_lines", "n_dropped"]
     schema = T.StructType([
         *(T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema.fields),
         T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    joined = docs.join(lost, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInArrow(_rewrite(names, least), schema)
+    joined = docs.join(lost, F.col("doc_id") == F.col(doc), "left").drop(doc)
+    return joined.mapInArrow(_rewrite(names, least, found), schema)

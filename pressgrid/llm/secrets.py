@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pressgrid.functions.binding import let
+from pressgrid.llm.names import unused
 from pressgrid.session import settle
 
 # kind, pattern (leftmost, not overlapping), group whose length counts, least length
@@ -30,6 +32,7 @@ ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "user": "id
 NEEDS = {"user": ["secret"], "key": ["identifier"], "address": ["identifier", "secret"]}
 REACH = 200  # code points between a weak part and its complement
 BIN = 512
+BLOCK, PART = 256, 1024  # findings that are put in order at once, and code points of a part of a text
 
 
 def _matches(pattern: str, group: int, least: int) -> tuple[Column, Column]:
@@ -38,10 +41,27 @@ def _matches(pattern: str, group: int, least: int) -> tuple[Column, Column]:
         F.length(F.regexp_extract(m, pattern, group)) >= least if group else F.length(m) >= least)
 
 
+def _in_order(items: Column, at: Column, none: Column, step) -> Column:
+    """(at, out) after `step(state, item)` over all items, where each step may add to the array `out`.
+
+    Adding to an array copies it. Items are taken in blocks, so copies grow with the number of
+    items times a block, not with its square.
+    """
+    last = F.ceil(F.size(items) / BLOCK).cast("int") - 1
+    blocks = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))))
+    start = F.struct(at.alias("at"), F.slice(F.array(none), 1, 0).alias("out"))
+
+    def block(state, some):
+        begun = F.struct(state["at"].alias("at"), none.alias("out"))
+        return let(F.aggregate(some, begun, step), lambda done: F.struct(
+            done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
+
+    return F.aggregate(blocks, start, block, lambda s: F.struct(s["at"].alias("at"), F.flatten(s["out"]).alias("out")))
+
+
 def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
     """Findings of one kind from its matches and the text between them."""
     enough = _matches(pattern, group, least)[1]
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,rank:int,end:long>>").alias("out"))
 
     def step(state, pair):
         begin = state["at"] + F.length(pair["gap"])
@@ -55,7 +75,8 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
 
     pairs = F.zip_with(F.slice(F.split("text", pattern, -1), 1, F.size(f"_{kind}")), f"_{kind}",
                        lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(f"_{kind}") > 0, F.aggregate(pairs, start, step)["out"])
+    none = F.array().cast("array<struct<start:long,rank:int,end:long>>")
+    return F.when(F.size(f"_{kind}") > 0, let(pairs, lambda p: _in_order(p, F.lit(0).cast("long"), none, step)["out"]))
 
 
 def _named(spans: Column) -> Column:
@@ -114,24 +135,38 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _piece(parts: Column, start: Column, end: Column) -> Column:
+    """Code points `start` to `end` of a text given as parts of PART code points; a place is found without reading what lies before."""
+    first, last = F.floor(start / PART).cast("int"), F.floor((end - 1) / PART).cast("int")
+    from_first, to_last = (start % PART).cast("int") + 1, ((end - 1) % PART).cast("int") + 1
+    inner = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(start >= end, "").when(first == last, F.substr(F.get(parts, first), from_first, (end - start).cast("int"))).otherwise(
+        F.concat(F.substr(F.get(parts, first), from_first), inner, F.substr(F.get(parts, last), F.lit(1), to_last)))
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text with each span's kind in brackets in its place; overlapping spans count once, as the first."""
+    def cut(parts: Column) -> Column:
+        def step(state, s):
+            fresh = s["start"] >= state["at"]
+            more = F.array(_piece(parts, state["at"], s["start"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
+
+        done = _in_order(spans, F.lit(0).cast("long"), F.array().cast("array<string>"), step)
+        return let(done, lambda d: F.concat(F.array_join(d["out"], ""), _piece(parts, d["at"], F.greatest(F.length(text).cast("long"), d["at"]))))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), cut)
+
+
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with every finding in `text` replaced by its kind in brackets; overlapping findings by the first.
 
     All columns and rows stay; a text without findings, null included, stays as it is.
     """
-    spans = find_secrets(docs).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"))
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("_key", key).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text_key")), "left")
-
-    def step(state, s):
-        new = F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.concat(state["out"], F.substr(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        return F.when(s["start"] >= state["at"], new).otherwise(
-            F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out")))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text"))).select(*docs.columns)
+    doc, text_key, found, key = unused(docs, "_doc", "_text_key", "_spans", "_key")
+    spans = find_secrets(docs.select("doc_id", "text")).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).select(
+        F.col("doc_id").alias(doc), F.col("text_key").alias(text_key), F.col("spans").alias(found))
+    hashed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = hashed.join(spans, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text_key)), "left")
+    return joined.withColumn("text", F.when(F.col(found).isNotNull(), _without(F.col("text"), F.col(found))).otherwise(F.col("text"))).select(
+        *(F.col(f"`{c}`") for c in docs.columns))

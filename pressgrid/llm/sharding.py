@@ -50,10 +50,14 @@ def shard_rows(rows: DataFrame, limit: int, key: str = "doc_id", text: str = "te
     stay; an empty table stays empty.
     """
     rows = rows.drop("shard", "depth", "row_bytes")
+    names = rows.columns
+    rows = rows.toDF(*(f"c{k}" for k in range(len(names))))  # no column of the table's can clash with an inner one
+    key, text = (f"c{names.index(c)}" for c in (key, text))
+    own = [F.col(c).alias(name) for c, name in zip(rows.columns, names, strict=True)]
     marked = rows.withColumns({
         "_bits": hash_bits(F.col(key)), "row_bytes": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")})
     placed, full = _placed(marked, limit)
-    result = placed.select(*rows.columns, _bits_text().alias("shard"), "depth", "row_bytes")
+    result = placed.select(*own, _bits_text().alias("shard"), "depth", "row_bytes")
     if full is None:
         return result
     # keys that fill shards by themselves; only their rows are sorted and kept
@@ -62,7 +66,7 @@ def shard_rows(rows: DataFrame, limit: int, key: str = "doc_id", text: str = "te
         "_bits", hash_bits(F.concat_ws(":", F.col("_bits"), F.col("_number"))))
     dealt, _ = _placed(above, limit, "_above")
     return result.unionByName(dealt.select(
-        *rows.columns, F.concat_ws(".", "_above", _bits_text()).alias("shard"), (F.col("depth") + BITS).alias("depth"), "row_bytes"))
+        *own, F.concat_ws(".", "_above", _bits_text()).alias("shard"), (F.col("depth") + BITS).alias("depth"), "row_bytes"))
 
 
 def _bits_text() -> Column:

@@ -37,7 +37,8 @@ def frame(spark):
     """A table of (doc_id, text) rows with further columns whose names the operators use themselves."""
     def make(rows, schema="doc_id long, text string"):
         df = spark.createDataFrame(rows, schema)
-        names = ["n", "token", "comp", "tiles", "shard", "cell", "depth", "score", "n_lines", "key", "spans", "text_key", "ids", "rank", "count"]
+        names = ["n", "token", "comp", "tiles", "shard", "cell", "depth", "score", "n_lines", "key", "spans", "text_key", "ids", "rank", "count",
+                 "_bits", "_cell", "_number", "_above", "_key", "_doc", "_spans", "_text_key", "_lost", "_hex", "_gone", "_again", "_text", "c0"]
         from pyspark.sql import functions as F
         return df.withColumns({name: F.lit(f"own {name}") for name in names}).repartition(3)
     return make
