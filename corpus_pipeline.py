@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgrid.llm.line_dedup import dedup_lines
+from pressgrid.llm.names import unused
 from pressgrid.llm.ngram_join import ngram_components
 from pressgrid.llm.packing import pack_documents
 from pressgrid.llm.secrets import redact_secrets
@@ -45,14 +46,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay or go together, but a row that repeats doc_id and text goes.
     """
     found = ngram_components(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select(F.col("doc_id").alias("_again"))
+    other, text = unused(docs, "_other", "_text")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+    again = docs.select("doc_id").groupBy("doc_id").count().filter("doc_id is not null and count > 1").select(F.col("doc_id").alias(other))
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").withColumn("_text", F.xxhash64("text"))
-    return kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(
-        repeated.dropDuplicates(["doc_id", "_text"]).drop("_text"))
+    repeated = kept.join(again, F.col("doc_id") == F.col(other), "left_semi").withColumn(text, F.xxhash64("text"))
+    return kept.join(again, F.col("doc_id") == F.col(other), "left_anti").unionByName(
+        repeated.dropDuplicates(["doc_id", text]).drop(text))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
