@@ -16,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pressgrid.llm.buffers import slices
 
 SPACE = "▁"
-CACHE_WORDS, CACHE_LENGTH = 600_000, 32
+CACHE_WORDS, CACHE_LENGTH = 450_000, 32
+PREFIXES, CACHE_BEGUN = (4, 6, 8), 80_000  # lengths of word beginnings whose search is kept, and how many
 MARKS = """.,;:!?"()\n"""
 _START = -1
 _loaded: dict[str, Pieces] = {}
@@ -34,7 +36,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
+        self.size = size = model.get_piece_size()
         plain = [k for k in range(size) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
         self.ids = {model.id_to_piece(k): k for k in plain}
         self.text = {k: p for p, k in self.ids.items()}
@@ -42,6 +44,13 @@ class Pieces:
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.of_byte = {k: b for b, k in enumerate(self.byte)}
         self.longest = max(map(len, self.ids))
+        self.ended = {p[k:]: -1 for p in self.ids for k in range(1, len(p))} | self.ids  # every end of a piece; -1 where it is none itself
+        self._begun: dict[str, tuple[int, ...]] = {}
+        self._spines: dict[int, tuple[list[tuple[str, float]], list[tuple[str, float]]] | None] = {}
+        written = {k: p.replace(SPACE, " ").encode() for k, p in self.text.items()} | {k: bytes([b]) for k, b in self.of_byte.items()}
+        self._written = pa.array([written.get(k, b"") for k in range(size + 1)], pa.large_binary())  # the last one for ids out of range
+        self._is_part = np.zeros(size + 1, bool)  # bytes that are no character by themselves
+        self._is_part[self.byte[128:]] = True
         # where no piece goes on, a text may be cut: before spaces, and before some punctuation
         self._inner = inner = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         if any(b == SPACE != a for a, b in inner):
@@ -49,18 +58,67 @@ class Pieces:
         marks = "".join(c for c in MARKS if not any(b == c and a != SPACE and a not in MARKS for a, b in inner))
         ends = re.escape(marks)
         self._cut = re.compile(f"{SPACE}*[^{SPACE}{ends}]+|{SPACE}*[{ends}]+[^{SPACE}{ends}]*|{SPACE}+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
 
     def follows(self, left: int, right: int) -> bool:
         """Whether merging keeps the two pieces apart and whole; `left` is _START where there is none."""
-        known = self._follows.get((left, right))
+        known = self._follows.get((left + 1) * self.size + right)
         if known is None:
-            word = self.text[right] if left == _START else self.text[left] + self.text[right]
-            known = self._merged(word) == ([self.text[right]] if left == _START else [self.text[left], self.text[right]])
-            self._follows[left, right] = known
+            known = self._apart(left, right)
+            self._follows[(left + 1) * self.size + right] = known
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        """Follows the parts on both sides of the boundary as they grow, the best score first: no merge across it may come before their own."""
+        a = self._edges(left) if left != _START else None
+        b = self._edges(right)
+        if b is None or (left != _START and a is None):  # merges out of order: all of them are done
+            word = self.text[right] if left == _START else self.text[left] + self.text[right]
+            return self._merged(word) == ([self.text[right]] if left == _START else [self.text[left], self.text[right]])
+        if left == _START:
+            return True
+        ends, begins = a[1], b[0]
+        i = j = 0
+        while True:
+            across = self.score.get(ends[i][0] + begins[j][0], -np.inf)
+            grown_left = ends[i + 1][1] if i + 1 < len(ends) else -np.inf
+            grown_right = begins[j + 1][1] if j + 1 < len(begins) else -np.inf
+            if across > -np.inf and across > grown_left and across >= grown_right:  # of equal scores the one to the left comes first
+                return False
+            if grown_left == grown_right == -np.inf:
+                return True
+            if grown_left >= grown_right:
+                i += 1
+            else:
+                j += 1
+
+    def _edges(self, piece: int) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """The parts at a piece's beginning and at its end, from one character to the piece, with the scores they are merged at.
+
+        None where the piece does not come out of its own merges, or these do not come in the order of their scores.
+        """
+        if piece not in self._spines:
+            text = self.text[piece]
+            parts, begins, ends, before = list(text), [(text[0], np.inf)], [(text[-1], np.inf)], np.inf
+            found = None
+            while True:
+                scored = [(self.score.get(a + b, -np.inf), -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+                if not scored:
+                    found = (begins, ends)
+                    break
+                best, k = max(scored)
+                if best == -np.inf or best > before:
+                    break
+                k, before = -k, best
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                if k == 0:
+                    begins.append((parts[0], best))
+                if k == len(parts) - 1:
+                    ends.append((parts[-1], best))
+            self._spines[piece] = found
+        return self._spines[piece]
+
     def _merged(self, word: str) -> list[str]:
         parts = list(word)
         while True:
@@ -95,25 +153,47 @@ class Pieces:
         return ids
 
     def _short(self, word: str) -> list[int] | None:
-        """As `stream`, for a word that fits the window and has known characters only."""
-        ids, known, longest = self.ids.get, self._follows.get, self.longest
-        if len(word) > CACHE_LENGTH:
+        """As `stream`, for a word that fits the window and has known characters only.
+
+        What was found for a word's first characters holds for all words that begin so, and is kept.
+        """
+        size = len(word)
+        if size > CACHE_LENGTH:
             return None
-        last = [_START]
-        for end in range(1, len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = ids(word[start:end])
-                if piece is not None:
-                    left = last[start]
-                    fits = known((left, piece))
-                    if fits is None:
-                        fits = self.follows(left, piece)
-                    if fits:
-                        last.append(piece)
-                        break
+        last = None
+        for known in reversed(PREFIXES):
+            if known < size:
+                last = self._begun.get(word[:known])
+                if last is not None:
+                    last = list(last)
+                    break
+        if last is None:
+            last = [_START]
+        ended, pairs, step = self.ended.get, self._follows.get, self.size
+        for end in range(len(last), size + 1):
+            start, fitting = end - 1, []
+            while start >= 0:
+                piece = ended(word[start:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    fitting.append((start, piece))
+                start -= 1
+            for start, piece in reversed(fitting):  # the longest first
+                left = last[start]
+                fits = pairs((left + 1) * step + piece)
+                if fits is None:
+                    fits = self.follows(left, piece)
+                if fits:
+                    last.append(piece)
+                    break
             else:
                 return None
-        return self._path(word, last, len(word))
+            if end in PREFIXES and end < size:
+                if len(self._begun) >= CACHE_BEGUN:
+                    self._begun.clear()
+                self._begun[word[:end]] = tuple(last)
+        return self._path(word, last, size)
 
     def stream(self, characters) -> Iterator[int]:
         """Ids of a run of characters, given out as soon as they are certain."""
@@ -159,21 +239,26 @@ class Pieces:
             alive.add(end - len(self.text[last[end]]))
         return alive.pop()
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        out, raw = [], bytearray()
-        for k in ids.tolist():
-            b = self.of_byte.get(k)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.text.get(k, ""))
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of many lists of ids: the bytes of their pieces, taken at once; bytes that are no UTF-8 become U+FFFD."""
+        known = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        taken = self._written.take(pa.array(known))  # the pieces' bytes lie one behind the other
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        data = np.frombuffer(taken.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+        at = ends[offsets - offsets[0]] - ends[0]
+        # the space before the first word goes
+        lead = np.zeros(len(at) - 1, np.int64)
+        some = at[1:] > at[:-1]
+        lead[some] = data[at[:-1][some]] == 32
+        kept = np.delete(data, at[:-1][lead == 1])
+        bounds = at - np.concatenate(([0], np.cumsum(lead)))
+        binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lead), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(kept.tobytes())])
+        parts = np.concatenate(([0], np.cumsum(self._is_part[known])))[offsets - offsets[0]]
+        odd = np.diff(parts) > 0
+        if odd.any():
+            read = [kept[bounds[k] : bounds[k + 1]].tobytes().decode("utf-8", "replace").encode() for k in np.flatnonzero(odd)]
+            binary = pc.replace_with_mask(binary, pa.array(odd), pa.array(read, pa.large_binary()))
+        return binary.cast(pa.large_string()).cast(pa.string())
 
 
 def load(path: str) -> Pieces:
@@ -217,9 +302,9 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
         pieces = load(model)
         for batch in batches:
             ids = batch.column("ids")
-            flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            texts = [pieces.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], schema.names)
+            at = ids.offsets.to_numpy()
+            flat = pc.fill_null(ids.values[at[0] : at[-1]] if len(at) else ids.values, -1).to_numpy(zero_copy_only=False)
+            yield pa.record_batch([*batch.columns, pieces.decode(flat, at)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
