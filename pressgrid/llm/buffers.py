@@ -96,13 +96,13 @@ _field: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _field_powers(kind: int, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo PRIME, at least n of them."""
+    """Powers of a base and of its inverse modulo PRIME, at least n of them, in 32 bits each."""
     have = _field.get((kind, lane))
     if have is None or len(have[0]) < n:
         base, size = _bases[kind][lane], max(n, 1 << 16)
         tables = []
         for step in (base, pow(base, -1, PRIME)):
-            p = np.ones(size, np.uint64)
+            p = np.ones(size, np.uint32)
             done = 1
             while done < size:
                 more = min(done, size - done)
@@ -110,7 +110,7 @@ def _field_powers(kind: int, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]
                 done += more
             tables.append(p)
         have = (tables[0], tables[1])
-        if n <= 4 * BATCH_BYTES:
+        if n <= 2 * BATCH_BYTES:
             _field[kind, lane] = have
     return have
 
@@ -119,13 +119,14 @@ def field_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: i
     """62-bit hash of each byte range, spread over 64 bits: two polynomials modulo a prime; `kind` 0 and 1 are independent."""
     prime = np.uint64(PRIME)
     out = np.zeros(len(starts), np.uint64)
-    letters = data.astype(np.uint64) + np.uint64(1)
+    letters = data.astype(np.uint16) + np.uint16(1)
     total = np.zeros(len(data) + 1, np.uint64)
     for lane in (0, 1):
         up, down = _field_powers(kind, lane, len(data) + 1)
         for a in range(0, len(data), SUM_BYTES):
             b = min(a + SUM_BYTES, len(data))
-            np.cumsum(letters[a:b] * up[a:b], out=total[a + 1 : b + 1])
+            np.multiply(letters[a:b], up[a:b], out=total[a + 1 : b + 1], dtype=np.uint64)
+            np.cumsum(total[a + 1 : b + 1], out=total[a + 1 : b + 1])
             if a:
                 total[a + 1 : b + 1] += total[a] % prime
         if len(data) <= SUM_BYTES:  # one run of sums that only grow
