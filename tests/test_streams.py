@@ -132,3 +132,17 @@ def test_share_counts_stream(spark, tmp_path):
         jobs.share_count_query(jobs.read_stream(spark, folder), "thble", out).awaitTermination()
     assert [(r["id"], r["shares"]) for r in jobs.article_shares(spark, out, articles).collect()] == [(1, 6)]
     assert jobs.share_table(spark, out).read().count() == 4
+
+
+def test_a_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
+    rows = spark.range(10).withColumn("t", F.lit("x"))
+    rows.repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one.parquet")
+    for table in ("many.parquet", "one.parquet"):
+        out = new_dir(spark, "table")
+        seen = []
+        query = jobs.read_stream(spark, str(tmp_path), table).writeStream.foreachBatch(
+            lambda batch, _: seen.extend(r["id"] for r in batch.collect())).option("checkpointLocation", f"{out}/state")
+        query.trigger(availableNow=True).start().awaitTermination()
+        assert sorted(seen) == list(range(10)), table
