@@ -33,7 +33,8 @@ def index_months(articles: DataFrame, path: str, month: str = "month", block_row
     months = [r[0] for r in rows.select("_month").distinct().collect()]  # one per month
     stored = spark.read.schema(_stored_schema(articles)).parquet(f"{path}/rows").filter(F.col("_month").isin(months))
     text = F.lower(F.concat_ws(_BREAK, F.col("id").cast("string"), *SEARCH_FIELDS))
-    runs = F.transform(F.sequence(F.lit(1), F.length("_text") - RUN + 1), lambda k: F.substr("_text", k, F.lit(RUN)))
+    # one pass over the text: a look-ahead gives the run at every place (substr would count from the beginning each time)
+    runs = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{RUN}}}))"), F.lit(1))
     posted = (
         stored.select("_month", "_block", text.alias("_text")).filter(F.length("_text") >= RUN)
         .select("_month", "_block", F.explode(F.array_distinct(runs)).alias("run")).filter(~F.col("run").contains(_BREAK)).distinct()

@@ -1,6 +1,7 @@
 """Stored postings: the rows of a full scan, from few files."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,14 @@ def test_one_month_anew(spark, stored, tmp_path):
 
 def test_runs(spark):
     assert runs_of(spark, "Abcd_ef%ghi") == ["abc", "bcd", "ghi"] and runs_of(spark, "a%b") == []
+
+
+def test_long_texts_take_time_in_proportion(spark, tmp_path):
+    path = str(tmp_path / "long")
+    body = "".join(f"é{k} \n😀" for k in range(120_000))  # about a million characters
+    table = conform(spark.createDataFrame([(1, "https://a.org/1", "a.org", body), (2, "https://a.org/2", "a.org", "\n😀")], "id long, url string, domain string, content string"))
+    began = time.monotonic()
+    index_months(table, path, block_rows=1)
+    assert time.monotonic() - began < 40
+    for term in ("9 \n😀é1", "é119999 \n😀", "\n😀", "😀é7 "):
+        assert listed(search_stored(spark, path, term)) == listed(search_articles(table, term)) != []
