@@ -40,10 +40,45 @@ def test_no_model(spark, frame, awkward):
     assert train(docs, labels.limit(0)) is None
 
 
+def test_every_labelled_row_is_learned(spark):
+    """A toxic word that only occurs in rows behind the first 3,000 of its class by hash, where the sample of old ended."""
+    ids = [r["doc_id"] for r in spark.range(7000).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id")).collect()]
+    rng = np.random.default_rng(1)
+    plain = [f"word{k}" for k in range(200)]
+    rows = []
+    for place, doc_id in enumerate(ids):
+        bad = ["" if place % 2 else "grubble" if place < 6200 else "snorkish"]
+        rows.append((doc_id, " ".join([*rng.choice(plain, 12), *bad, *rng.choice(plain, 12)]), "xx", 1 - place % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    text = " ".join(plain[:20])
+    asked = spark.createDataFrame([(1, text), (2, f"{text} grubble"), (3, f"{text} snorkish")], "doc_id long, text string")
+    assert [r["rejected"] for r in score_toxicity(asked, model).orderBy("doc_id").collect()] == [False, True, True]
+
+
+def test_shards_learn_as_well_and_alike(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.filter(~held_out())
+    model = train(docs, known, shard_rows=700)
+    again = train(docs.repartition(7), known.repartition(3), shard_rows=700)
+    assert (model.network.rows == again.network.rows).all() and (model.cut == again.cut).all()
+    assert np.allclose(model.language_weights, train(docs, known).language_weights)  # counts of all rows, however dealt
+    scored = score_toxicity(docs, model).join(labels, "doc_id").filter(held_out()).select("rejected", "toxic").toPandas()
+    assert (scored.rejected == (scored.toxic == 1)).mean() > 0.98
+    one_class = labels.filter("toxic = 0")
+    assert train(docs, one_class, shard_rows=700) is None
+
+
 def test_threshold():
     assert threshold_of(np.array([0.0, 1.0, 3.0, 4.0]), np.array([0, 0, 1, 1])) == 2.0
 
 
+def test_threshold_of_counted_rows():
+    z, y, n = np.array([3.0, 0.0, 1.0]), np.array([9, 0, 2]), np.array([9, 5, 3])
+    listed = [(a, k < b) for a, b, c in zip(z, y, n, strict=True) for k in range(c)]
+    assert threshold_of(z, y, n) == threshold_of(*(np.array(v, float) for v in zip(*listed, strict=True))) == 0.5
+
+
 def test_language(spark):
     docs, pages = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "pages"))
     names, shares = count_grams(docs)
