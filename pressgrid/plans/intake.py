@@ -14,7 +14,7 @@ from pressgrid.plans.enrich import enrich_backlog
 from pressgrid.schemas import ARTICLES, conform
 from pressgrid.session import settle
 from pressgrid.sources.files import HEADERS, read_delimited
-from pressgrid.sources.tables import append_batch, read_batches
+from pressgrid.sources.tables import append_batch, appended, read_batches
 
 
 def intake_rows(
@@ -35,10 +35,11 @@ def intake_rows(
     fields = extract_pages(picked.drop("_url"), "light", as_of, [brand]).dropDuplicates(["url"]).select(
         "url", F.col("title").alias("page_title"), F.col("publish_date").alias("page_date"),
         F.col("domain").alias("page_domain"), F.col("content").alias("page_content"))
-    joined = salted_join(fresh, fields, "url")
+    # numbered before the page fields come in, so that no page is parsed for the numbers
+    numbered = number_by(fresh, ["pos"], F.col("pos"), name="_n")
+    joined = salted_join(numbered, fields, "url")
     top = articles.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = number_by(joined, ["pos"], F.col("pos"), name="_n")
-    built = ingest_row_build(numbered.withColumn("id", F.col("_n")), brand, as_of)
+    built = ingest_row_build(joined.withColumn("id", F.col("_n")), brand, as_of)
     return built.withColumns({
         "updated_at": as_of + F.make_interval(secs=F.col("id")),
         "id": F.col("id") + 1 + top,
@@ -61,12 +62,14 @@ def ingest_file(
     """An export file into the stored table at `path`, read back and enriched.
 
     The rows of the file that the table lacks are appended as one batch, so a
-    job that is run again adds nothing. Rows go in the order of the file's `line` column where it has one.
+    job that is run again adds nothing: a batch in the ledger is not prepared anew. Rows go in the
+    order of the file's `line` column where it has one.
     """
-    table = read_batches(spark, path, ARTICLES)
-    lines = read_delimited(spark, file, HEADERS | {"line": ["line"]})
-    export = lines.withColumn("pos", F.coalesce(F.expr("try_cast(line AS BIGINT)"), F.col("pos"))).drop("line")
-    append_batch(conform(intake_rows(export, table, pages, brand, as_of)), path, batch, rejects)
+    if not appended(spark, path, batch):
+        table = read_batches(spark, path, ARTICLES)
+        lines = read_delimited(spark, file, HEADERS | {"line": ["line"]})
+        export = lines.withColumn("pos", F.coalesce(F.expr("try_cast(line AS BIGINT)"), F.col("pos"))).drop("line")
+        append_batch(conform(intake_rows(export, table, pages, brand, as_of)), path, batch, rejects)
     return enrich_backlog(read_batches(spark, path, ARTICLES), media, brand, as_of)
 
 

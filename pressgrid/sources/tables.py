@@ -41,9 +41,16 @@ _BATCH_NAME = re.compile(r"[A-Za-z0-9_.\-]+")
 
 
 def _ledger(path: str, batch: str) -> str:
+    if not _BATCH_NAME.fullmatch(batch):
+        raise ValueError(f"a batch name has letters, digits and _.- only, not {batch!r}")
     return f"{path}/_ledger/batch={batch}"
 
 
+def appended(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether the batch is in the ledger of the table at `path`."""
+    return complete(spark, _ledger(path, batch))
+
+
 def append_batch(rows: DataFrame, path: str, batch: str, rejects: str | None = None) -> dict[str, int]:
     """Append rows under the name of their batch; a batch that is in the ledger adds nothing again.
 
@@ -52,10 +59,8 @@ def append_batch(rows: DataFrame, path: str, batch: str, rejects: str | None = N
     dropped by the next. Returns how many rows were accepted and rejected.
     """
     spark = rows.sparkSession
-    if not _BATCH_NAME.fullmatch(batch):
-        raise ValueError(f"a batch name has letters, digits and _.- only, not {batch!r}")
     entry = _ledger(path, batch)
-    if not complete(spark, entry):
+    if not appended(spark, path, batch):
         remove_matching(spark, f"{path}/month=*/batch={batch}")
         error = F.array_compact(F.array(F.when(~is_url(F.col("url")), F.lit("Invalid URL format"))))
         good, bad = split_accepted(rows.withColumn("errors", error))
